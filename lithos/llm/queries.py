@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, sharding
+from lithos.llm import chat, licenses, quality, sharding
 from lithos.session import read_table
 
 
@@ -16,6 +16,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -33,9 +38,17 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.cascade(read_table(spark, sf_dir, "documents"), measures=quality.MEASURES)
+    n, repeated = F.col("n_words"), F.col("n_repeat_words")
+    return out.select("doc_id", *quality.MEASURES, ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_licenses": op4_licenses,
     "op7_chat": op7_chat,
+    "op9_quality": op9_quality,
 }
 
 #: The template adds 8 + role + 8 + 7 characters to a turn, and one for each backslash and control string.
@@ -58,4 +71,29 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7_SQL}
+_OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), tri AS (
+  SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM tri) WHERE k > 1
+  ) GROUP BY doc_id
+), li AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, strlen(regexp_replace(t, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS n_letters
+  FROM d LEFT JOIN li USING (doc_id) LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 2 * n_symbols > n_words OR 2 * n_dup_lines > greatest(n_lines, 4)
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_letters < word_chars) AS kept
+FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7_SQL, "op9_quality": _OP9_SQL}
