@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import chat, licenses, quality, sharding
+from lithos.llm import chat, langid, licenses, quality, sharding
 from lithos.session import read_table
 
 
@@ -44,11 +44,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURES, ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"), "kept")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    # carried beside the id through the same rows, not joined: ids may repeat
+    keyed = docs.select(F.struct("doc_id", langid.held_out().alias("held_out")).alias("key"), "text")
+    out = langid.identify(keyed, langid.train(docs), id_col="key")
+    return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_licenses": op4_licenses,
     "op7_chat": op7_chat,
     "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 #: The template adds 8 + role + 8 + 7 characters to a turn, and one for each backslash and control string.
