@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import bpe, chat, langid, licenses, neighbours, packing, quality, sharding, suffix_dedup
+from lithos.llm import bpe, chat, jaccard, langid, licenses, neighbours, packing, quality, sharding, suffix_dedup
 from lithos.session import read_table
 
 
@@ -35,6 +35,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op4_licenses": op4_licenses,
     "op5_bpe": op5_bpe,
+    "op6_jaccard": op6_jaccard,
     "op7_chat": op7_chat,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
