@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from lithos.llm.arrow import batch_of
 from lithos.session import cut
 
 #: Vectors in the tree's fit, branches of a node, vectors of the sample in a leaf, queries in the calibration, recall they must reach.
-SAMPLE_ROWS, BRANCHES, LEAF_ROWS, CALIBRATION_QUERIES, TARGET_RECALL = 20_000, 8, 40, 200, 0.97
+SAMPLE_ROWS, BRANCHES, LEAF_ROWS, CALIBRATION_QUERIES, TARGET_RECALL = 20_000, 8, 100, 200, 0.96
 #: Vectors, and queries, compared in one task at most, about.
 CELL_ROWS, CELL_QUERIES = 20_000, 5_000
 
@@ -68,6 +67,7 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, seed: int = 5):
         self.n_leaves = 0
+        self.sample = sample.astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.root = self._grow(sample, branches, leaf_rows)
 
@@ -82,6 +82,14 @@ class Tree:
         self.n_leaves += 1
         return node
 
+    def bound(self, q: np.ndarray, k: int) -> float:
+        """No less than the distance from q, which may be in the sample, to the k-th nearest other vector."""
+        if len(self.sample) <= k:
+            return float("inf")
+        d = _squared(self.sample, q[None, :].astype(np.float32))[:, 0]
+        near = self.sample[np.argpartition(d, k)[: k + 1]].astype(np.float64)
+        return float(np.sqrt(((near - q) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
         out = np.zeros(len(x), np.int32)
@@ -174,32 +182,34 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
     by_leaf = spark.sparkContext.broadcast(salts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("leaf", pa.int32()), ("salt", pa.int32())])
+        cells = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("bound", pa.float64()), ("leaf", pa.int32()), ("salt", pa.int32())])
         for b in batches:
             for q_id, q in zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True):
-                own = q.tolist()
-                yield batch_of([(q_id, own, leaf, s) for leaf in shared.value.visit(q, visits) for s in range(by_leaf.value.get(leaf, 0))], cells)
+                own, bound = q.tolist(), shared.value.bound(q, k)
+                yield batch_of([(q_id, own, bound, leaf, s) for leaf in shared.value.visit(q, visits) for s in range(by_leaf.value.get(leaf, 0))], cells)
 
-    asked = placed.filter("asks").select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, leaf int, salt int")
+    asked = placed.filter("asks").select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, bound double, leaf int, salt int")
     many = F.create_map(*[F.lit(x) for kv in salts.items() if kv[1] > 1 for x in kv]) if any(n > 1 for n in salts.values()) else None
     n_salts = F.coalesce(many[F.col("leaf")], F.lit(1)) if many is not None else F.lit(1)
-    held = placed.select("vec_id", F.col("v").cast("array<double>").alias("v"), "leaf", F.pmod(F.xxhash64("vec_id"), n_salts).cast("int").alias("salt"))
-
-    def compare(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(vs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        x, ids = np.stack(vs["v"].to_numpy()), vs["vec_id"].to_numpy()
-        parts = []
-        for q_id, q in zip(qs["query_id"], qs["q"], strict=True):
+    held = placed.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), n_salts).cast("int").alias("salt"))
+
+    def compare(asking: pa.Table, there: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not asking.num_rows or not there.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        asking, there = asking.combine_chunks(), there.combine_chunks()
+        x, ids = _matrix(there.column("v").combine_chunks()), there.column("vec_id").to_numpy()
+        q_ids, bounds = asking.column("query_id").to_numpy(), asking.column("bound").to_numpy()
+        found = []
+        for q_id, q, bound in zip(q_ids, _matrix(asking.column("q").combine_chunks()), bounds, strict=True):
             d = np.sqrt(((x - q) ** 2).sum(axis=1))
-            ok = ids != q_id
-            some, d = ids[ok], d[ok]
-            if len(d) > k:
-                near = d <= np.partition(d, k - 1)[k - 1]
-                some, d = some[near], d[near]
-            best = np.lexsort((some, d))[:k]
-            parts.append(pd.DataFrame({"query_id": q_id, "vec_id": some[best], "score": d[best]}))
-        return pd.concat(parts, ignore_index=True)
+            # further than k sampled vectors: can't be among the nearest
+            near = np.flatnonzero((d <= bound) & (ids != q_id))
+            if len(near) > k:
+                near = near[np.lexsort((ids[near], d[near]))[:k]]
+            found.append((np.full(len(near), q_id), ids[near], d[near]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], names=names)
 
     # queries that meet in a leaf are parted too; each part gets the leaf's vectors
     n_queries = placed.filter("asks").count()
@@ -207,7 +217,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id", "leaf"), F.lit(parts_of)).cast("int"))
     held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1)))) if parts_of > 1 else held.withColumn("part", F.lit(0))
     cell = ("leaf", "salt", "part")
-    near = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    near = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(compare, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
