@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "Mei", "Jun", "Jul", "Agu", "Sep", "Okt", "Nov", "Des")
 
@@ -20,7 +21,7 @@ def squash_paragraphs(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clip(s: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else x.encode()[:k].decode("utf-8", "ignore") for x, k in zip(s, n, strict=True)])
 
