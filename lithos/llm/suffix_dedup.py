@@ -48,7 +48,7 @@ from lithos.session import cut
 
 LENGTH, NAME = 50, 16
 #: Bytes of text in a part, names in a bucket, blocks of a name that one bucket sorts.
-PART_BYTES, BUCKET_NAMES, SORTED_BLOCKS = 4_000_000, 2_000_000, 50_000
+PART_BYTES, BUCKET_NAMES, SORTED_BLOCKS = 3_000_000, 400_000, 50_000
 UNIQUE, ONE_BLOCK, MANY_BLOCKS, BY_STRING = range(4)
 
 _U = np.uint64
@@ -138,9 +138,9 @@ def _deal(name: np.ndarray, buckets: int) -> np.ndarray:
 def _slices(dealt: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The rows of each bucket in a sorted array."""
     b = (dealt >> _U(32)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-    for s, e in zip(starts, [*starts[1:], len(b)], strict=True):
-        yield int(b[s]), slice(int(s), int(e))
+    starts = _firsts(b).tolist()
+    for s, e in zip(starts, [*starts[1:], len(b)], strict=False):
+        yield int(b[s]), slice(s, e)
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
