@@ -1 +1 @@
-
+"""Readers of the feeds: raw payloads to typed rows and rejections."""
