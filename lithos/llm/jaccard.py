@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 75
 COUNTERS, FILTER_BITS = 1 << 22, 1 << 23
 #: Postings of a bucket; sets of a list that are compared at once; pivots tried on longer lists.
 BUCKET_POSTINGS, SHORT_LIST, PIVOTS = 2_000_000, 8, 3
+#: Sets of a cell that a task compares with others at once, on either side.
+CELL_SETS = 20_000
 #: Documents whose postings a task gathers before sending.
 BLOCK_POSTINGS = 1_000_000
 
@@ -316,6 +318,54 @@ class _Verifier:
 
     def links(self, candidates: DataFrame) -> DataFrame:
         """(a, b) of the candidates that link."""
+        return self.exact(self._near(candidates))
+
+    def rest(self, left: DataFrame) -> DataFrame:
+        """Pairs of different components that bit vectors don't rule out, where both sets stand in lists with one commonest component.
+
+        Sets outside that component are held against all sets of these lists, in blocks;
+        no pair is written unless it may link.
+        """
+        percent, bits = self.percent, self.sets.select(F.col("set").alias("a"), "bits")
+        own = left.groupBy("main", "a").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(bits, "a")
+        size = own.groupBy("main").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("label") != F.col("main")).alias("_few"))
+        blocks = lambda c: F.ceil(F.col(c) / CELL_SETS).cast("int")
+        deal = lambda c, salt: F.pmod(F.xxhash64("a", F.lit(salt)), blocks(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(blocks(c), F.lit(1)) - 1))
+        own = cut(own.join(size, "main"))
+        few = own.filter("label != main").withColumn("i", deal("_few", "few")).withColumn("j", every("_all"))
+        every_one = own.filter("_few > 0").withColumn("j", deal("_all", "all")).withColumn("i", every("_few"))
+        cols = "main", "i", "j", "a", "n", "label", "bits"
+
+        def fold(rows: list[bytes], to: int) -> np.ndarray:
+            out = np.zeros((len(rows), to), np.uint8)
+            for k, r in enumerate(rows):
+                out[k] = np.bitwise_xor.reduce(np.frombuffer(r, np.uint8).reshape(-1, to), axis=0)
+            return out.view(np.uint64)
+
+        def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+            found = [np.zeros((0, 2), np.int64)]
+            if x.num_rows and y.num_rows:
+                xb, yb = x.column("bits").to_pylist(), y.column("bits").to_pylist()
+                xw, yw = np.array([len(v) for v in xb]), np.array([len(v) for v in yb])
+                xa, ya, xn, yn, xl, yl = (t.column(c).to_numpy() for c in ("a", "n", "label") for t in (x, y))
+                for u in np.unique(xw):
+                    for w in {u // 2, u, 2 * u} & set(yw.tolist()):  # further apart in size, sets don't link
+                        p, q = np.flatnonzero(xw == u), np.flatnonzero(yw == w)
+                        xv, yv = fold([xb[k] for k in p], min(u, w)), fold([yb[k] for k in q], min(u, w))
+                        for k, own in zip(p, xv, strict=True):
+                            at = np.flatnonzero((xl[k] != yl[q]) & (100 * np.minimum(xn[k], yn[q]) >= percent * np.maximum(xn[k], yn[q])))
+                            least = np.bitwise_count(yv[at] ^ own).sum(axis=1, dtype=np.int64)
+                            at = q[at[least <= xn[k] + yn[q[at]] - 2 * needed(xn[k], yn[q[at]], percent)]]
+                            found.append(np.stack([np.minimum(xa[k], ya[at]), np.maximum(xa[k], ya[at])], axis=1))
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        cell = ("main", "i", "j")
+        return few.select(*cols).toDF(*cols).groupBy(*cell).cogroup(every_one.select(*cols).groupBy(*cell)).applyInArrow(compare, "a long, b long").distinct()
+
+    def exact(self, near: DataFrame) -> DataFrame:
+        """(a, b) of these pairs that link."""
         percent = self.percent
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +377,7 @@ class _Verifier:
                     ok.append(100 * both >= percent * (len(g) + len(h) - both))
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-        near = cut(self._near(candidates))
+        near = cut(near)
         if near.isEmpty():
             return near
         grams = cut(self._fetch(near))
@@ -336,11 +386,12 @@ class _Verifier:
 
 
 def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries of lists that still hold two components or more, each with its component."""
+    """Entries of lists that still hold two components or more, each with its component and its list's commonest one."""
     c = connected_components(links).toDF("a", "label")
     e = entries.join(c, "a", "left").withColumn("label", F.coalesce("label", "a"))
-    several = e.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("list")
-    return cut(e.join(several, "list"))
+    size = e.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = size.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
+    return cut(e.join(main, "list"))
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
@@ -364,32 +415,33 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counters:
     sets = cut(own.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     lists = _postings(docs, counts, words, percent, buckets).groupBy("bucket").applyInArrow(lambda t: _walk(t, percent, short), LISTS)
     lists = cut(lists)
-    entries = lists.filter("kind = 1").select("list", "a", "n", "place")
     verifier = _Verifier(docs, sets, words, percent)
+    entries = lists.filter("kind = 1").select("list", "a", "n", "place")
+    of_set = entries.groupBy("a").agg(F.count(F.lit(1)).alias("n_lists"))
+    entries = cut(entries.join(of_set, "a"))
+    links = verifier.links(lists.filter("kind = 0").select("a", "b").distinct())
+    left = _labelled(entries, links)
 
     def near_pivot(e: DataFrame, turn: int) -> DataFrame:
-        """Each entry with its list's pivot, another one each turn."""
-        pivot = e.groupBy("list").agg(F.min_by(F.struct("a", "n", "place", "label"), F.xxhash64("a", F.lit(turn))).alias("p"))
+        """Entries with a pivot of their list that is in another component.
+
+        The first pivot is the set that stands in most lists: of copies with edits, the least
+        edited. Later ones are other members of the list's commonest component.
+        """
+        best = F.struct(F.col("n_lists") if turn == 0 else F.lit(0), F.xxhash64("a", F.lit(turn)))
+        some = e if turn == 0 else e.filter("label = main")
+        pivot = some.groupBy("list").agg(F.max_by(F.struct("a", "n", "place", "label"), best).alias("p"))
         both = e.join(pivot, "list").filter(F.col("label") != F.col("p.label"))
         both = both.filter(_may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent))
         return both.select(F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b")).distinct()
 
-    first = lists.filter("kind = 0").select("a", "b").unionAll(near_pivot(entries.withColumn("label", F.col("a")), 0)).distinct()
-    links = verifier.links(first)
-    left = _labelled(entries, links)
-    for turn in range(1, pivots):
+    for turn in range(pivots):
         if left.isEmpty():
             break
         links = cut(links.unionAll(verifier.links(near_pivot(left, turn))).distinct())
         left = _labelled(entries, links)
     if not left.isEmpty():
-        # the rest in full: entries outside a list's commonest component against all of other components
-        size = left.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
-        main = size.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        few = left.join(main, "list").filter("label != main").select("list", F.col("a").alias("b"), F.col("n").alias("m"), F.col("place").alias("q"), F.col("label").alias("other"))
-        rest = left.join(few, "list").filter((F.col("label") != F.col("other")) & _may_link(F.col("n"), F.col("place"), F.col("m"), F.col("q"), percent))
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = cut(links.unionAll(verifier.links(rest)).distinct())
+        links = cut(links.unionAll(verifier.exact(verifier.rest(left))).distinct())
     of = connected_components(links).toDF("set", "label")
     members = sets.select("set", "doc_id").join(of, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))

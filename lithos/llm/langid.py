@@ -64,7 +64,7 @@ class Vocabulary:
         if self.tables is None:
             self.tables, at = [], 0
             for n, own in enumerate(self.grams, 1):
-                t = np.full(1 << 8 * n, self.size, np.int32)
+                t = np.full(1 << 8 * n, self.size, np.int16 if self.size < 32_000 else np.int32)
                 t[own] = np.arange(at, at + len(own))
                 at += len(own)
                 self.tables.append(t)

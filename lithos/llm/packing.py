@@ -14,6 +14,7 @@ rows of their own; an empty table gives no rows; other columns take no part.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -50,12 +51,17 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def _added_tokens(json_path: str) -> tuple:
-    """The tokenizer itself and the strings that it takes for single tokens."""
+def _added_tokens(json_path: str) -> tuple[str, ...]:
+    """The strings that the tokenizer takes for single tokens."""
+    with open(json_path, encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f)["added_tokens"])
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(json_path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(json_path)
-    return t, tuple(x.content for x in t.get_added_tokens_decoder().values())
+    return Tokenizer.from_file(json_path)
 
 
 def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +74,13 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, split = _Words(ranks_path, pattern), splitter(pattern)
-        whole, added = _added_tokens(json_path)
+        added = _added_tokens(json_path)
         end = np.array([end_id], "<u4").tobytes()
         for ids, texts, id_field in blocks(batches):
             rows = []
             for doc_id, text in zip(ids, texts, strict=True):
                 if any(a in text for a in added):
-                    own = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+                    own = np.array(_tokenizer(json_path).encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
                 else:
                     own = b"".join(map(words.__getitem__, split(text))) + end
                 n = len(own) // 4
