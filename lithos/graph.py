@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lithos.session import cut
 
 
+#: Edges that a task works on at most, about; small graphs are kept in few partitions.
+TASK_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
@@ -19,15 +23,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     e = cut(e)
     before = None
+    few = max(1, -(-e.count() // TASK_EDGES))
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.coalesce(few) if few < df.sparkSession._jsc.sc().defaultParallelism() * 4 else df
+
+    e = packed(e)
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = packed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter(F.col("u") != F.col("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = packed(packed(large.filter(F.col("u") != F.col("v"))).distinct())
+        low = packed(large.groupBy("u").agg(F.min("v").alias("m")))
         hooked = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = low.select("u", F.col("m").alias("v")).unionAll(hooked)
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        small = packed(low.select("u", F.col("m").alias("v")).unionAll(hooked))
+        e = packed(cut(packed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

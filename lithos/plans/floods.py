@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.geo import round_half_up
@@ -85,12 +85,14 @@ def rain_rolling_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEVEL_SQL = "CASE WHEN {v} IS NULL THEN NULL ELSE ({v} >= 100)::INT + ({v} >= 250)::INT + ({v} >= 400)::INT + ({v} >= 470)::INT END"
-_T = [F.lit(x) for x in (100.0, 250.0, 400.0, 470.0)]
+def _thresholds() -> list[Column]:
+    return [F.lit(x) for x in (100.0, 250.0, 400.0, 470.0)]
+
 
 
 @query(f"WITH {EVENTS_SQL} SELECT id, {_LEVEL_SQL.format(v='value')} AS level FROM h")
 def flood_level_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).select("id", threshold_level(F.col("value"), _T).alias("level"))
+    return detections(spark, sf_dir).select("id", threshold_level(F.col("value"), _thresholds()).alias("level"))
 
 
 _DISCHARGE_SQL = f"""{EVENTS_SQL}, x AS (SELECT id, user_id, t // 86400 AS d, CASE WHEN id % 3 = 0 THEN NULL ELSE value END AS med, value * 0.9 AS one, CASE WHEN id % 5 = 0 THEN NULL ELSE value * 1.2 END AS p75 FROM h),
@@ -102,7 +104,7 @@ def _discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = detections(spark, sf_dir)
     v = F.col("value")
     x = h.select("id", "user_id", F.floor(F.col("t") / 86400).alias("d"), F.when(F.col("id") % 3 != 0, v).alias("med"), (v * 0.9).alias("one"), F.when(F.col("id") % 5 != 0, v * 1.2).alias("p75"))
-    level, possible = discharge_level(F.col("med"), F.col("one"), F.col("p75"), _T, 3)
+    level, possible = discharge_level(F.col("med"), F.col("one"), F.col("p75"), _thresholds(), 3)
     return x.withColumn("level", level).withColumn("possible", possible)
 
 
@@ -122,7 +124,7 @@ SELECT id, greatest(a, b, c) AS level, CASE WHEN c = greatest(a, b, c) THEN 2 WH
 def rain_day_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = detections(spark, sf_dir)
     v = F.col("value")
-    best, which = rain_level([threshold_level(x, _T) for x in (v, v * 0.8, v * (F.lit(0.5) + F.col("id") % 3 * 0.4))])
+    best, which = rain_level([threshold_level(x, _thresholds()) for x in (v, v * 0.8, v * (F.lit(0.5) + F.col("id") % 3 * 0.4))])
     return h.select("id", best.alias("level"), which.alias("window_place"))
 
 
@@ -132,7 +134,7 @@ e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED
 
 @query(f"WITH {_EPISODE_SQL} SELECT user_id, CAST(episode AS BIGINT) AS episode, min(us) AS opened, max(us) AS last_exceeded, max(us) + 86400000000 AS expires, max({_LEVEL_SQL.format(v='value')}) AS level, count(*) AS runs FROM e GROUP BY ALL")
 def flood_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = detections(spark, sf_dir).select("user_id", "us", "value", threshold_level(F.col("value"), _T).alias("level"))
+    h = detections(spark, sf_dir).select("user_id", "us", "value", threshold_level(F.col("value"), _thresholds()).alias("level"))
     linger = 86_400_000_000
     return flood.episode_summary(flood.episodes(h, "user_id", "us", F.col("value") >= 250, linger), "user_id", "us", "level", linger)
 
