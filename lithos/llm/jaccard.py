@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 75
 #: Counters of the frequency table (4 bytes each; it is broadcast), bits of the filter of ids that are fetched again.
 COUNTERS, FILTER_BITS = 1 << 22, 1 << 23
 #: Postings of a bucket; sets of a list that are compared at once; pivots tried on longer lists.
-BUCKET_POSTINGS, SHORT_LIST, PIVOTS = 2_000_000, 8, 3
+BUCKET_POSTINGS, SHORT_LIST, PIVOTS = 2_000_000, 8, 2
 #: Sets of a cell that a task compares with others at once, on either side.
 CELL_SETS = 20_000
 #: Documents whose postings a task gathers before sending.
