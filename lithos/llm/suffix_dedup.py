@@ -48,7 +48,7 @@ from lithos.session import cut
 
 LENGTH, NAME = 50, 16
 #: Bytes of text in a part, names in a bucket, blocks of a name that one bucket sorts.
-PART_BYTES, BUCKET_NAMES, SORTED_BLOCKS = 3_000_000, 400_000, 50_000
+PART_BYTES, BUCKET_NAMES, SORTED_BLOCKS = 2_000_000, 400_000, 50_000
 UNIQUE, ONE_BLOCK, MANY_BLOCKS, BY_STRING = range(4)
 
 _U = np.uint64
@@ -238,8 +238,8 @@ def induced(group: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndar
 PART_TYPE = "part long, lengths binary, ids binary, no_id binary, rows binary, text binary"
 
 
-def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
-    """Documents packed by their order in the input's partitions."""
+def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int):
+    """(rows to pack, function that packs them by their order in the input's partitions)."""
     others = [c for c in docs.columns if c != text_col]
     sent = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"), F.struct(*others).alias("r"))
     schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("lengths", "ids", "no_id", "rows", "text"))])
@@ -262,7 +262,7 @@ def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
                 made += 1
 
-    return sent.mapInArrow(pack, PART_TYPE)
+    return sent, pack
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -384,18 +384,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         raise ValueError("length must be from 24 to 79")
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     buckets = max(8, -(-total // (bucket_names * (length - NAME) // 2)))
-    packed = parts(docs, id_col, text_col, part_bytes)
+    sent, pack = parts(docs, id_col, text_col, part_bytes)
+    packed = sent.mapInArrow(pack, PART_TYPE)
     run_schema, said_schema, tuple_schema = _schema(RUN), _schema(SAID), _schema(TUPLES)
 
     def send_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pack(batches):  # in one worker: two of them in a row would hold twice the memory
             for row in b.to_pylist():
                 dealt, block, marks, _ = _names(Part(row, length), buckets)
                 five = (block >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 rows = [(k, row["part"], (dealt[s] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), five[s].tobytes(), marks[s].tobytes()) for k, s in _slices(dealt)]
                 yield from _table(rows, run_schema).to_batches()
 
-    names = packed.mapInArrow(send_names, RUN).groupBy("bucket").applyInArrow(lambda t: _table(_merge_names(t, sorted_blocks), said_schema), SAID)
+    names = sent.mapInArrow(send_names, RUN).groupBy("bucket").applyInArrow(lambda t: _table(_merge_names(t, sorted_blocks), said_schema), SAID)
     names = cut(names)
     wide = length - NAME
 
