@@ -67,7 +67,6 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS, seed: int = 5):
         self.n_leaves = 0
-        self.sample = sample.astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.root = self._grow(sample, branches, leaf_rows)
 
@@ -82,14 +81,6 @@ class Tree:
         self.n_leaves += 1
         return node
 
-    def bound(self, q: np.ndarray, k: int) -> float:
-        """No less than the distance from q, which may be in the sample, to the k-th nearest other vector."""
-        if len(self.sample) <= k:
-            return float("inf")
-        d = _squared(self.sample, q[None, :].astype(np.float32))[:, 0]
-        near = self.sample[np.argpartition(d, k)[: k + 1]].astype(np.float64)
-        return float(np.sqrt(((near - q) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
         out = np.zeros(len(x), np.int32)
@@ -103,11 +94,11 @@ class Tree:
                 todo += [(child, rows[near == i]) for i, child in enumerate(node.children)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in best-bin-first order."""
+    def visit(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves in best-bin-first order, and more until they hold ``rows`` vectors by ``sizes``."""
         queue: list[tuple[float, int, Node]] = [(0.0, 0, self.root)]
-        seen, out = 1, []
-        while queue and len(out) < most:
+        seen, out, held = 1, [], 0
+        while queue and (len(out) < most or held < rows):
             _, _, node = heapq.heappop(queue)
             while node.children is not None:
                 d = _squared(q[None, :], node.centres)[0]
@@ -118,6 +109,7 @@ class Tree:
                         seen += 1
                 node = node.children[best]
             out.append(node.leaf)
+            held += sizes.get(node.leaf, 0) if sizes else 0
         return out
 
 
@@ -178,17 +170,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
     elem = dict(v.dtypes)["v"]
     placed = cut(v.mapInArrow(place, f"vec_id long, v {elem}, asks boolean, leaf int"))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    salts = {r["leaf"]: -(-r["n"] // CELL_ROWS) for r in sizes.collect()}  # at most a row for each leaf
-    by_leaf = spark.sparkContext.broadcast(salts)
+    rows_of = {r["leaf"]: r["n"] for r in sizes.collect()}  # at most a row for each leaf
+    salts = {leaf: -(-n // CELL_ROWS) for leaf, n in rows_of.items()}
+    by_leaf = spark.sparkContext.broadcast((rows_of, salts))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("bound", pa.float64()), ("leaf", pa.int32()), ("salt", pa.int32())])
+        cells = pa.schema([("query_id", pa.int64()), ("q", pa.list_(pa.float64())), ("leaf", pa.int32()), ("salt", pa.int32())])
+        held, parts = by_leaf.value
         for b in batches:
             for q_id, q in zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True):
-                own, bound = q.tolist(), shared.value.bound(q, k)
-                yield batch_of([(q_id, own, bound, leaf, s) for leaf in shared.value.visit(q, visits) for s in range(by_leaf.value.get(leaf, 0))], cells)
+                own = q.tolist()
+                # k candidates besides the query itself
+                yield batch_of([(q_id, own, leaf, s) for leaf in shared.value.visit(q, visits, held, k + 1) for s in range(parts.get(leaf, 0))], cells)
 
-    asked = placed.filter("asks").select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, bound double, leaf int, salt int")
+    asked = placed.filter("asks").select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, leaf int, salt int")
     many = F.create_map(*[F.lit(x) for kv in salts.items() if kv[1] > 1 for x in kv]) if any(n > 1 for n in salts.values()) else None
     n_salts = F.coalesce(many[F.col("leaf")], F.lit(1)) if many is not None else F.lit(1)
     held = placed.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id"), n_salts).cast("int").alias("salt"))
@@ -199,14 +194,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         asking, there = asking.combine_chunks(), there.combine_chunks()
         x, ids = _matrix(there.column("v").combine_chunks()), there.column("vec_id").to_numpy()
-        q_ids, bounds = asking.column("query_id").to_numpy(), asking.column("bound").to_numpy()
         found = []
-        for q_id, q, bound in zip(q_ids, _matrix(asking.column("q").combine_chunks()), bounds, strict=True):
+        for q_id, q in zip(asking.column("query_id").to_numpy(), _matrix(asking.column("q").combine_chunks()), strict=True):
             d = np.sqrt(((x - q) ** 2).sum(axis=1))
-            # further than k sampled vectors: can't be among the nearest
-            near = np.flatnonzero((d <= bound) & (ids != q_id))
+            near = np.flatnonzero(ids != q_id)
             if len(near) > k:
-                near = near[np.lexsort((ids[near], d[near]))[:k]]
+                # the cell's k nearest, whatever other cells hold; of those as far as the k-th the smaller ids
+                far = np.partition(d[near], k - 1)[k - 1]
+                at, near = near[d[near] == far], near[d[near] < far]
+                near = np.concatenate([near, at[np.argsort(ids[at], kind="stable")[: k - len(near)]]])
             found.append((np.full(len(near), q_id), ids[near], d[near]))
         cols = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.Table.from_arrays([pa.array(c) for c in cols], names=names)

@@ -54,3 +54,20 @@ def test_every_leaf_is_exact():
     tree = neighbours.Tree(x, branches=4, leaf_rows=20)
     assert sorted(tree.visit(x[0], tree.n_leaves)) == list(range(tree.n_leaves))
     assert len(set(tree.assign(x).tolist())) == tree.n_leaves
+
+
+def test_every_query_has_k_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 32)).astype(np.float32)  # the default sample is the whole table
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0, "z", "z", "z") for i, v in enumerate(x)], DDL)
+    got = {r.query_id: r.n for r in neighbours.search(df, F.col("vec_id") % 10 == 0, k=10, target=0.5).groupBy("query_id").agg(F.count("vec_id").alias("n")).collect()}
+    assert got == dict.fromkeys(range(0, 2000, 10), 10)
+
+
+def test_small_leaves_are_visited_until_k_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0, "z", "z", "z") for i, v in enumerate(x)], DDL)
+    for k in (250, 400):
+        got = neighbours.search(df, F.col("vec_id") % 100 == 0, k=k, target=0.1).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == dict.fromkeys((0, 100, 200), min(k, 299))
