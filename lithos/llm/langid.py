@@ -12,6 +12,12 @@ language, chosen by a hash of the id; every row is scored, over its whole text.
 Edge cases: a null text and one without letters are ``und`` with score 0; with no
 labelled rows all texts are ``und``; rows without a label or without an id take no part
 in the fit; repeated rows are scored alike; other columns take no part.
+
+A calibrated model also tells texts in no known language: each language has a floor for
+the share of a text's three-byte n-grams that the landmarks hold, taken from labelled rows
+that a fit hasn't seen. Texts that mix known languages score low, but hold known n-grams,
+and stay. With fewer than ``FEWEST_ROWS`` such rows there are no floors, and ``keep``
+rejects only texts without letters.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from lithos.llm.arrow import batch_of, id_and_bytes, pairs
 #: Labelled rows in the fit and landmarks, both over all languages.
 SAMPLE_ROWS, LANDMARKS = 1200, 96
 RIDGE = 0.1
+#: Rows that a floor is taken from, at least; their quantile; how far below it the floor lies, in distances from there to the median, and at least.
+FEWEST_ROWS, FLOOR_QUANTILE, FLOOR_SLACK, LEAST_SLACK = 8, 0.01, 1.5, 0.15
 UNKNOWN = "und"
 #: Lower case for ASCII; everything but letters and bytes of other characters is a word's edge.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -59,8 +67,11 @@ class Vocabulary:
         self.size = sum(map(len, self.grams))
         self.tables: list[np.ndarray] | None = None
 
-    def presence(self, data: bytes, row: np.ndarray) -> None:
-        """Set ``row`` to 1 at the columns of the n-grams in ``data``; the last column takes the others."""
+    def presence(self, data: bytes, row: np.ndarray) -> float:
+        """Set ``row`` to 1 at the columns of the n-grams in ``data``; the last column takes the others.
+
+        Returned is the share of the n-grams of three bytes that have a column, each time counted.
+        """
         if self.tables is None:
             self.tables, at = [], 0
             for n, own in enumerate(self.grams, 1):
@@ -69,7 +80,9 @@ class Vocabulary:
                 at += len(own)
                 self.tables.append(t)
         for table, found in zip(self.tables, codes(data), strict=True):
-            row[table[found]] = 1
+            at = table[found]
+            row[at] = 1
+        return float((at != self.size).mean()) if len(at) else 0.0
 
 
 @dataclass
@@ -80,22 +93,38 @@ class Model:
     norms: np.ndarray
     weights: np.ndarray  # landmarks x languages
 
+    #: For each language the share of known n-grams below which a text is in no known language.
+    floors: np.ndarray | None = None
+
     def kernel(self, texts: list[bytes]) -> np.ndarray:
+        return self._kernel(texts)[0]
+
+    def _kernel(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         p = np.zeros((len(texts), self.vocabulary.size + 1), np.float32)
-        for row, data in zip(p, texts, strict=True):
-            self.vocabulary.presence(data, row)
+        known = np.array([self.vocabulary.presence(data, row) for row, data in zip(p, texts, strict=True)])
         p = p[:, :-1]
         own = np.sqrt(np.maximum(p.sum(axis=1), 1))
-        return (p @ self.landmarks) / (own[:, None] * self.norms[None, :])
+        return (p @ self.landmarks) / (own[:, None] * self.norms[None, :]), known
 
-    def predict(self, texts: list[bytes], step: int = 64) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def evidence(self, texts: list[bytes], step: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The language of each text, by its place, its score and its share of known n-grams."""
+        said, found = [np.zeros(0, int)], [np.zeros((0, 2))]
         for i in range(0, len(texts), step):
-            scores = self.kernel(texts[i : i + step]) @ self.weights
-            best = scores.argmax(axis=1)
-            top = scores[np.arange(len(best)), best]
-            out += [(self.languages[k], float(min(1.0, max(0.0, (s + 1) / 2)))) for k, s in zip(best, top, strict=True)]
-        return out
+            kernel, known = self._kernel(texts[i : i + step])
+            scores = kernel @ self.weights
+            said.append(scores.argmax(axis=1))
+            found.append(np.stack([np.clip((scores.max(axis=1) + 1) / 2, 0, 1), known], axis=1))
+        return np.concatenate(said), *np.concatenate(found).T
+
+    def predict(self, texts: list[bytes], step: int = 64) -> list[tuple[str, float]]:
+        said, scores, _ = self.evidence(texts, step)
+        return [(self.languages[k], float(s)) for k, s in zip(said, scores, strict=True)]
+
+    def knows(self, texts: list[bytes], min_score: float = 0.0) -> np.ndarray:
+        """True for texts in a language of the model."""
+        said, scores, known = self.evidence(texts)
+        ok = scores >= min_score
+        return ok if self.floors is None else ok & (known >= self.floors[said])
 
 
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -128,13 +157,40 @@ def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float
     return model
 
 
+def floors(rows: list[tuple[str, bytes]], languages: list[str]) -> np.ndarray | None:
+    """The floors of each language: either half of the rows is scored by a fit on the other.
+
+    A language with too few rows gets the lowest floor of the others.
+    """
+    rows = [(lang, data) for lang, data in rows if has_letters(data)]
+    names, found = [], []
+    for turn in (0, 1):
+        model, rest = fit(rows[turn::2]), rows[1 - turn :: 2]
+        if model is None or not rest:
+            return None
+        seen = [lang in model.languages for lang, _ in rest]
+        found.append(model.evidence([data for _, data in rest])[2][seen])
+        names += [lang for (lang, _), s in zip(rest, seen, strict=True) if s]
+    every, label = np.concatenate(found), np.array(names)
+
+    def floor(own: np.ndarray) -> float:
+        low, middle = np.quantile(own, [FLOOR_QUANTILE, 0.5])
+        return low - max(FLOOR_SLACK * (middle - low), LEAST_SLACK)
+
+    if len(every) < FEWEST_ROWS:
+        return None
+    of = {lang: floor(every[label == lang]) for lang in languages if (label == lang).sum() >= FEWEST_ROWS}
+    least = min(of.values()) if of else floor(every)
+    return np.array([of.get(lang, least) for lang in languages])
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for rows that no fit may learn from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out."""
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate: bool = False) -> Model | None:
+    """Fit on a bounded sample of the labelled rows that aren't held out; ``calibrate`` adds the floors of a known language."""
     labelled = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     labelled = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,7 +205,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     w = Window.partitionBy("lang").orderBy(key, "doc_id")
     few = labelled.filter(wanted & F.col("text").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= each)
     rows = [(r["lang"], bytes(r["text"])) for r in few.select("lang", F.col("text").cast("binary").alias("text")).orderBy("lang", "_r").toLocalIterator()]
-    return fit(rows)
+    model = fit(rows)
+    if model is not None and calibrate:
+        model.floors = floors(rows, model.languages)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +230,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, model: Model | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known (with at least ``min_score``), with all their columns."""
+    """The rows of ``docs`` whose language is known (with at least ``min_score``, and by the floors of a calibrated model), with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +243,7 @@ def keep(docs: DataFrame, model: Model | None, min_score: float = 0.0, text_col:
                 good = [i for i, x in enumerate(data) if m is not None and has_letters(x)]
                 ok = np.zeros(batch.num_rows, bool)
                 if good:
-                    ok[good] = [s >= min_score for _, s in m.predict([data[i] for i in good])]
+                    ok[good] = m.knows([data[i] for i in good], min_score)
                 yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)
