@@ -262,6 +262,18 @@ def _walk(table: pa.Table, percent: int, short: int) -> pa.Table:
     return pa.Table.from_arrays(cols, names=["kind", "list", "a", "b", "n", "place"])
 
 
+def set_names(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, set) of each row of (doc_id, text); 0 is the empty set. ``doc_id`` may be of any type."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [set_id(ngrams(x.as_py(), words)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64())], names=["doc_id", "set"])
+
+    return id_and_bytes(rows).mapInArrow(run, f"doc_id {id_type}, set long")
+
+
 class _Verifier:
     """Compares candidate pairs of sets, exactly."""
 
@@ -403,7 +415,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counters:
     """(documents, links, components) of the join.
 
     documents: doc_id, n, set; links: pairs (a, b) of sets that were found to link, enough to
-    connect every component; components: set, component_id (the smallest doc_id in it).
+    connect every component; components: set, component_id (the smallest doc_id in it), label (the
+component's own name, as ids may be null or repeat).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = cut(_statistics(docs, words, counters))
@@ -445,7 +458,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counters:
     of = connected_components(links).toDF("set", "label")
     members = sets.select("set", "doc_id").join(of, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return own.select("doc_id", "n", "set"), links, members.join(least, "label").select("set", "component_id")
+    return own.select("doc_id", "n", "set"), links, members.join(least, "label").select("set", "component_id", "label")
 
 
 def components(docs: DataFrame, **options) -> DataFrame:
