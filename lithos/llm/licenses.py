@@ -2,9 +2,10 @@
 
 Document frequencies of the templates' words are counted over all documents.
 Each template is indexed under its highest-IDF words, with their places. A file
-looks up the indexed words that it holds; postings that agree on one relative
-position are an alignment of the template, which is scored by the template's
-words found in place and must hold the template's mandatory key phrases.
+looks up the indexed words that it holds; postings that agree on a relative
+position, but for a few words put in or left out, are an alignment of the template,
+which is scored by the template's words found in order and must hold the template's
+mandatory key phrases.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows are
 scanned alike; an empty table gives no rows; other columns take no part.
@@ -53,7 +54,7 @@ TEMPLATES = (
     Template("gpl-2.0", "licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
     Template("gpl", "it under the terms of the GNU General Public License as published by the Free Software Foundation", ("gnu general public license", "free software foundation")),
     Template("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("lesser general public license",)),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is hereby granted", "free of charge")),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ("permission is hereby granted", "free of charge")),
     Template("mit", "released under the MIT License", ("mit license",)),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("source and binary forms", "conditions are met")),
     Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
@@ -63,8 +64,8 @@ TEMPLATES = (
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     Template("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
 )
-#: Words of each template that the index holds; words in place that an alignment needs.
-RARE_WORDS, MIN_COVERAGE = 4, 0.8
+#: Words of each template that the index holds; share of words that an alignment needs; words by which it may drift, a fourth of the template at most.
+RARE_WORDS, MIN_COVERAGE, DRIFT = 4, 0.8, 4
 
 
 def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
@@ -99,20 +100,40 @@ class Index:
 
     def alignments(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[str, int, float]]:
         """(label, first word, score) of each verified alignment."""
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
         for w, at in places.items():
             for k, i in self.postings.get(w, ()):
                 for p in at:
-                    votes[k, p - i].add(w)
-        for (k, start), who in votes.items():
+                    votes[k][p - i].add(w)
+        for k, starts in votes.items():
             label, own, keys = self.templates[k]
-            if start < 0 or len(who) < self.need[k]:
-                continue
-            there = words[start : start + len(own)]
+            drift = min(DRIFT, len(own) // 4)
             total = sum(self.idf[w] for w in own)
-            score = sum(self.idf[w] for w, x in zip(own, there, strict=False) if w == x) / total
-            if score >= MIN_COVERAGE and all(_holds(there, key) for key in keys):
-                yield label, start, score
+            used: set[int] = set()
+            for start in sorted(starts, key=lambda x: (-len(starts[x]), x)):
+                near = [x for x in range(start - drift, start + drift + 1) if x in starts]
+                if start in used or len(set().union(*(starts[x] for x in near))) < self.need[k]:
+                    continue
+                found, first, last = self._aligned(own, words, start, drift)
+                if found >= MIN_COVERAGE * total and all(_holds(words[first : last + 1], key) for key in keys):
+                    used.update(near)
+                    yield label, first, found / total
+
+    def _aligned(self, own: tuple[bytes, ...], words: list[bytes], start: int, drift: int) -> tuple[float, int, int]:
+        """(weight, first place, last place) of the heaviest words of a template that are found in order, none further than ``drift`` from its place."""
+        low = max(0, start - drift)
+        there = words[low : max(0, start + len(own) + drift)]
+        best = [(0.0, 0, -1)] * (len(there) + 1)
+        for i, w in enumerate(own):
+            row = [best[0]]
+            for j, x in enumerate(there):
+                up = max(best[j + 1], row[j], key=lambda c: (c[0], c[1] - c[2]))
+                if w == x and abs(low + j - start - i) <= drift:
+                    weight, first, last = best[j]
+                    up = max(up, (weight + self.idf[w], first if last >= 0 else low + j, low + j), key=lambda c: (c[0], c[1] - c[2]))
+                row.append(up)
+            best = row
+        return best[-1]
 
 
 def _holds(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
