@@ -183,10 +183,9 @@ def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid-sampled shares; tests hold them against exact rectangles."""
+    """Exact shares of all pairs of regions that overlap."""
     sq = _squares(spark, sf_dir)
-    shapes = sq.filter("code < '00010'").select(F.col("code").alias("id"), "geom")
-    return regions.coverage(shapes, sq, 16)
+    return regions.coverage(sq.select(F.col("code").alias("id"), "geom"), sq)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type, floor(value * 100 + 0.5) / 100 AS value FROM events")

@@ -8,6 +8,7 @@ from lithos.functions import geo, ids, levels, text
 from lithos.graph import connected_components
 from lithos.operators import fire, flood, joins, latest, quake, regions, weather
 from lithos.policies import CROSS_SOURCE
+from lithos.plans import tables
 
 
 def one(spark, expr):
@@ -171,3 +172,25 @@ def test_region_kinds(spark):
     got = {r.code: (r.l, r.k) for r in df.select("code", regions.level(F.col("code")).alias("l"), regions.kind(F.col("code")).alias("k")).collect()}
     assert got["32.73"] == (2, "city") and got["32.04"] == (2, "regency") and got["32.73.01.1001"] == (4, "urban_village") and got["32.04.05.2001"] == (4, "village")
     assert got["3"] == (None, None) and got["32.1"] == (None, None) and got["32.73.01.3001"] == (4, None)
+
+
+def test_coverage_is_exact(spark):
+    paths = {"thin": "[[[0,3.99],[0,9],[4,9],[4,3.99]]]", "half": "[[[0,0],[0,2],[4,2],[4,0]]]", "tri": "[[[0,0],[4,0],[0,4]]]", "touch": "[[[4,0],[4,4],[5,4],[5,0]]]"}
+    of = lambda rows, k: spark.createDataFrame(rows, f"{k} string, path string").select(k, regions.from_path(F.col("path")).alias("geom"))
+    g = of([("holed", "[[[0,0],[0,4],[4,4],[4,0]],[[1,1],[1,2],[2,2],[2,1]]]")], "code")
+    got = {r.id: r.share for r in regions.coverage(of(list(paths.items()), "id"), g).collect()}
+    assert got == pytest.approx({"thin": 0.04 / 15, "half": 7 / 15, "tri": 7 / 15})
+
+
+def test_region_coverage_takes_all_shapes(spark):
+    sf = "/root/testdata/sf0.001"
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    box = {f"{k:05d}": (106.3 + (k * 41 % 40) / 16, -7.9 + (k * 23 % 32) / 16, (1 + k % 5) / 8) for k in keys}
+    want = {}
+    for i, (w, s, z) in box.items():
+        for j, (x, t, y) in box.items():
+            own = max(0, min(w + z, x + y) - max(w, x)) * max(0, min(s + z, t + y) - max(s, t)) / y**2
+            if own > 1e-9:
+                want[i, j] = own
+    got = {(r.id, r.code): r.share for r in tables.region_coverage(spark, sf).collect()}
+    assert got == pytest.approx(want)
