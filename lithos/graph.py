@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +15,36 @@ from lithos.session import cut
 TASK_EDGES = 100_000
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as edges from each node to the smallest one that it reaches in the partition."""
+    up: dict = {}
+
+    def root(x):
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:  # shorten the way for the next
+            up[x], x = top, up.get(x, top)
+        return top
+
+    schema = None
+    for b in batches:
+        schema = b.schema
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if schema is not None:
+        ends = [(x, root(x)) for x in list(up)]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
-    Large-star and small-star steps in turn: every edge is hooked to the smallest
-    neighbour of its end, until all edges of a component point at its smallest node.
+    Each partition first joins what its own edges connect, of which one edge a node is left. A graph of few
+    edges has one partition and is done then. Otherwise large-star and small-star steps follow in turn: every edge
+    is hooked to the smallest neighbour of its end, until all edges of a component point at its smallest node.
     Each step is one aggregation and one join, so no task ever needs a whole
     neighbourhood; the number of rounds grows with the logarithm of the size.
     """
@@ -28,6 +56,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     def packed(df: DataFrame) -> DataFrame:
         return df.coalesce(few) if few < df.sparkSession._jsc.sc().defaultParallelism() * 4 else df
 
+    kind = e.schema["u"].dataType.simpleString()
+    def stars(df: DataFrame) -> DataFrame:
+        own = df.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return own.unionAll(own.select(F.col("component").alias("node"), "component").distinct())
+
+    kind = e.schema["u"].dataType.simpleString()
+    e = cut(packed(e).mapInArrow(_local_stars, f"u {kind}, v {kind}"))
+    if few == 1:
+        return stars(e)
     e = packed(e)
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,5 +81,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         before = now
     else:
         raise RuntimeError("components did not settle")
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+    return stars(e)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lithos.functions.geo import haversine_km
 from lithos.policies import EPSILON, MatchRule
+from lithos.session import spread as over_cores
 
 
 def band_join(left: DataFrame, right: DataFrame, on_left: Column, on_right: Column, width: float, condition: Column, how: str = "inner", equal: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -44,10 +45,49 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def matches(left: DataFrame, right: DataFrame, rule: MatchRule, how: str = "inner") -> DataFrame:
-    """Records (id, t, lat, lon, mag) of two sources that match; inner joins have a score."""
+    """Records (id, t, lat, lon, mag) of two sources that match; inner joins have a score.
+
+    They meet by an equi join on cells of time, latitude and longitude, twice as wide as the rule, so the
+    candidates of a record are those near it in time *and* place. One side stands in the cells that its
+    neighbourhood touches (two at most of each kind, but for places near a pole), the other in its own; for
+    semi and anti joins the right side is spread instead. Cells of longitude close around the globe.
+    """
     ok, score = quake_match(rule)
-    out = band_join(prefixed(left, "a_"), prefixed(right, "b_"), F.col("a_t"), F.col("b_t"), rule.seconds, ok, how)
-    return out.withColumn("score", score) if how == "inner" else out
+    a, b = prefixed(over_cores(left), "a_"), prefixed(over_cores(right), "b_")
+    cell_t, cell_y = 2.0 * max(rule.seconds, 1e-3), max(2.0 * rule.km / 110.5, 1e-6)
+    around = max(1, int(360 // cell_y))
+    cell_x = 360.0 / around
+
+    def column(x: Column) -> Column:
+        return F.pmod(F.floor(x / cell_x), F.lit(around))
+
+    def own(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumn("_ct", F.floor(F.col(f"{p}t") / cell_t)).withColumn("_cy", F.floor(F.col(f"{p}lat") / cell_y)).withColumn("_cx", column(F.col(f"{p}lon")))
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        t, lat, lon = F.col(f"{p}t"), F.col(f"{p}lat"), F.col(f"{p}lon")
+        dlat = rule.km / 110.5 + EPSILON
+        dlon = F.lit(dlat) / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dlat, F.lit(89.9)))), F.lit(1e-3))
+        whole = (F.abs(lat) + dlat >= 89.9) | (2 * dlon + cell_x >= 360)
+        some = F.sequence(F.floor((lon - dlon) / cell_x), F.floor((lon + dlon) / cell_x))
+        xs = F.array_distinct(F.transform(F.when(whole, F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long"))).otherwise(some), lambda x: F.pmod(x, F.lit(around))))
+        out = df.withColumn("_ct", F.explode(F.sequence(F.floor((t - rule.seconds) / cell_t), F.floor((t + rule.seconds) / cell_t))))
+        out = out.withColumn("_cy", F.explode(F.sequence(F.floor((lat - dlat) / cell_y), F.floor((lat + dlat) / cell_y))))
+        return out.withColumn("_cx", F.explode(xs))
+
+    cells = ["_ct", "_cy", "_cx"]
+    if how == "inner":
+        out = spread(a, "a_").join(own(b, "b_"), cells).filter(ok).drop(*cells)
+        return out.withColumn("score", score)
+    if how not in ("left_semi", "left_anti"):
+        raise ValueError(how)
+    l = own(a, "a_")
+    r = spread(b, "b_")
+    r = r.withColumnsRenamed({c: c + "r" for c in cells})
+    on = ok
+    for c in cells:
+        on = on & (F.col(c) == F.col(c + "r"))
+    return l.join(r, on, how).drop(*cells)
 
 
 def best_match(left: DataFrame, right: DataFrame, rule: MatchRule) -> DataFrame:
@@ -96,23 +136,25 @@ def mask(points: DataFrame, circles: DataFrame, keep: bool = True, cell: float =
 def near_pairs(points: DataFrame, km: float, seconds: int, cell_time: str = "t") -> DataFrame:
     """Pairs (a, b) of points (id, t, lat, lon) within both distances, ends included; for the clustering of fires.
 
-    Cells are as wide as the distance and buckets as long as the gap, so each point looks in 27 neighbours.
+    Cells are as wide as the distance and buckets as long as the gap, so partners are in the same cell or one of its
+    26 neighbours. A point looks in its own and in the half of them that come after it: each pair is met once.
     """
     cy = km / 110.5
     lat_cell = F.floor(F.col("lat") / cy)
-    p = points.select("id", F.col(cell_time).alias("t"), "lat", "lon", lat_cell.alias("y"), F.floor(F.col(cell_time) / seconds).alias("k"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns])
-    a = a.withColumn("y", F.explode(F.transform(steps, lambda d: F.col("a_y") + d))).withColumn("k", F.explode(F.transform(steps, lambda d: F.col("a_k") + d)))
-    b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns], "y", "k")
+    p = over_cores(points).select("id", F.col(cell_time).alias("t"), "lat", "lon", lat_cell.alias("y"), F.floor(F.col(cell_time) / seconds).alias("k"))
     # degrees of longitude shrink with latitude: a band of cells has the width its poleward edge needs
     band = F.least(F.greatest(F.abs(F.col("y") - 1), F.abs(F.col("y") + 2)) * cy, F.lit(89.0))
     cx = km / (110.5 * F.cos(F.radians(band)))
-    a = a.withColumn("x", F.explode(F.transform(steps, lambda d: F.floor(F.col("a_lon") / cx) + d)))
-    b = b.withColumn("x", F.floor(F.col("b_lon") / cx))
-    j = a.join(b, ["y", "k", "x"]).filter("a_id < b_id")
+    steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    a = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns], F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(y).alias("y")) for k, y in steps])).alias("s"))
+    a = a.withColumn("y", F.col("a_y") + F.col("s.y")).withColumn("k", F.col("a_k") + F.col("s.k"))
+    own = (F.col("s.k") == 0) & (F.col("s.y") == 0)
+    a = a.withColumn("d", F.explode(F.when(own, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1)))))
+    a = a.withColumn("x", F.floor(F.col("a_lon") / cx) + F.col("d")).withColumn("here", own & (F.col("d") == 0)).drop("s", "d")
+    b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns], "y", "k").withColumn("x", F.floor(F.col("b_lon") / cx))
+    j = a.join(b, ["y", "k", "x"]).filter(~F.col("here") | (F.col("a_id") < F.col("b_id")))
     ok = (F.abs(F.col("a_t") - F.col("b_t")) <= seconds) & (haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= km)
-    return j.filter(ok).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return j.filter(ok & (F.col("a_id") != F.col("b_id"))).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def lookup_or_reject(df: DataFrame, table: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from lithos.operators import joins, latest, quake
 from lithos.plans.fires import KM_SQL
 from lithos.plans.registry import EVENTS_SQL, detections, query
 from lithos.policies import MatchRule
-from lithos.session import read_table
+from lithos.session import cut, read_table
 
 #: Wider than the default, so that a month of events has matches.
 RULE = MatchRule(1800, 60, 1.0)
@@ -115,14 +115,38 @@ def quake_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views as reports of two sources, in real time; some withdraw the one of their source 97 ids before."""
     h = detections(spark, sf_dir).filter("event_type IN ('click', 'view')")
-    return h.select(F.col("id").cast("string").alias("id"), F.when(F.col("event_type") == "click", "bmkg").otherwise("usgs").alias("source"), (F.col("us") / 50_000_000).alias("t"), "lat", "lon", (F.col("value") / 100).alias("mag"), (F.col("us") / 50_000_000 + F.col("id") % 200).alias("seen"), F.array().cast("array<string>").alias("alternates"), (F.col("id") % 97 == 0).alias("deleted"))
+    source = F.when(F.col("event_type") == "click", "bmkg").otherwise("usgs")
+    t = F.col("us") / 1_000_000
+    named = F.when(F.col("id") % 13 == 0, F.array((F.col("id") - 13).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return h.select(F.col("id").cast("string").alias("id"), source.alias("source"), t.alias("t"), "lat", "lon", (F.col("value") / 100).alias("mag"), (t + F.col("id") % 200).alias("seen"), named.alias("alternates"), (F.col("id") % 97 == 0).alias("deleted"))
 
 
 @query()
 def quake_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent placement; tests hold it against its invariant."""
-    return quake.place(solutions(spark, sf_dir)).select("id", "event")
+    """Order-dependent placement; ``quake_placement_check`` and tests hold it against its invariant."""
+    return quake.place(solutions(spark, sf_dir)).select("source", "id", "event")
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT * FROM h WHERE event_type IN ('click', 'view'))
+SELECT (SELECT count(*) FROM s) AS solutions, (SELECT count(*) FROM s WHERE id % 97 = 0) AS withdrawn, 0 AS broken""")
+def quake_placement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many solutions were placed, how many have no event, and pairs in force that don't match: none."""
+    r = solutions(spark, sf_dir)
+    placed = cut(quake.place(r))
+    broken = quake.broken_pairs(r, placed).agg(F.count(F.lit(1)).alias("broken"))
+    n = placed.agg(F.count(F.lit(1)).alias("solutions"), F.count_if(F.col("event").isNull()).alias("withdrawn"))
+    return n.join(broken)  # one row each
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT * FROM h WHERE event_type IN ('click', 'view')) SELECT (SELECT count(*) FROM s) AS solutions, 0 AS unplaced, 0 AS broken""")
+def quake_arrival_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same origins in their order of arrival, three and twenty minutes after they occur."""
+    r = quake.arrivals(solutions(spark, sf_dir), {"bmkg": 180.0, "usgs": 1200.0})
+    placed = cut(quake.place(r))
+    n = placed.agg(F.count(F.lit(1)).alias("solutions"), F.count_if(F.col("event").isNull()).alias("unplaced"))
+    return n.join(quake.broken_pairs(r, placed).agg(F.count(F.lit(1)).alias("broken")))  # one row each
 
 
 _MERGE_SQL = f"""WITH {EVENTS_SQL}, x AS (SELECT *, t * 10000000 + id AS o, CASE WHEN id % 3 = 0 THEN '' ELSE props END AS place, CASE WHEN id % 4 = 0 THEN 'unknown' ELSE event_type END AS wave FROM h)

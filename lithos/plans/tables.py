@@ -166,11 +166,11 @@ def region_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.region_of(detections(spark, sf_dir), _squares(spark, sf_dir)).select("id", "code")
 
 
-@query(f"""WITH {EVENTS_SQL}, {_SQUARES_SQL}, j AS (SELECT id, code, greatest(w - lon, 0, lon - w - size) * cos(radians(lat)) AS dx, greatest(s - lat, 0, lat - s - size) AS dy FROM h, q WHERE id % 20 = 0)
+@query(f"""WITH {EVENTS_SQL}, {_SQUARES_SQL}, j AS (SELECT id, code, greatest(w - lon, 0, lon - w - size) * cos(radians(lat)) AS dx, greatest(s - lat, 0, lat - s - size) AS dy FROM h, q)
 SELECT id, code, floor(sqrt(dx * dx + dy * dy) * pi() / 180 * 6371.0088 * 1000 + 0.5) / 1000 AS km FROM j WHERE sqrt(dx * dx + dy * dy) * pi() / 180 * 6371.0088 <= 20""")
 def regions_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth event as a query point, against all regions."""
-    p = detections(spark, sf_dir).filter("id % 20 = 0").select("id", "lon", "lat")
+    """Every event as a query point, against all regions."""
+    p = detections(spark, sf_dir).select("id", "lon", "lat")
     return regions.regions_within(p, _squares(spark, sf_dir), 20.0).select("id", "code", round_half_up(F.col("km"), 3).alias("km"))
 
 
