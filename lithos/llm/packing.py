@@ -5,11 +5,15 @@ number of pieces of each length matters to a packing, so the search runs on that
 histogram, whose size is the capacity's and not the data's: around the largest
 piece left it enumerates undominated fillings, takes the best fitting one as many
 times as the counts allow, and goes back to another filling when the waste so far
-exceeds what the incumbent leaves. Pieces are then numbered within their length and
-each finds its sequence and place in the plan's intervals.
-
-Edge cases: a null or empty text is the end token alone; repeated rows are packed as
-rows of their own; an empty table gives no rows; other columns take no part.
+exceeds what the incumbent leaves. It ends when a packing meets the lower bound, or with the
+incumbent when its effort (``nodes`` and ``backtracks``) is spent: then the number of sequences
+may be above the least possible, never the pieces incomplete; ``Plan.bound`` tells by how much
+at most. Pieces are then numbered within their length and each finds its sequence and place in
+the plan's intervals.
+
+Edge cases: a null or empty text is the end token alone, and any number of them is packed; repeated
+rows are packed as rows of their own, and so are rows with a null id; very long texts are cut; an
+empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from lithos.llm.bpe import MEMORY_WORDS, Vocabulary, blocks, splitter
 from lithos.session import cut
 
 CAPACITY = 2048
-#: Other lengths tried at each place of a filling, fillings looked at, alternatives kept, steps back.
-WIDTH, NODES, KEPT, BACKTRACKS = 6, 400, 4, 200
+#: Effort of the search: places looked at for the fillings around a piece, alternatives kept of them, steps back.
+NODES, KEPT, BACKTRACKS = 2_000, 8, 1_000
+#: Pieces of a length that are numbered in one task, about.
+TASK_PIECES = 2_000_000
 
 
 class _Words(dict):
@@ -100,6 +106,8 @@ class Plan:
 
     capacity: int
     steps: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    #: No packing has fewer sequences.
+    bound: int = 0
 
     @property
     def n_sequences(self) -> int:
@@ -150,43 +158,73 @@ class _Counts:
         return min(self.counts[x] // filling.count(x) for x in set(filling))
 
 
-def fillings(left: _Counts, capacity: int, width: int = WIDTH, nodes: int = NODES, kept: int = KEPT) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings around the largest piece: (waste, lengths), best first."""
+def _covers(larger: tuple[int, ...], pieces: tuple[int, ...]) -> bool:
+    """True if the pieces can be dealt into holes of the larger ones' lengths, as far as largest-first dealing finds it."""
+    holes = list(larger)
+    for x in pieces:
+        i = min((i for i, h in enumerate(holes) if h >= x), key=lambda i: holes[i], default=None)
+        if i is None:
+            return False
+        holes[i] -= x
+    return True
+
+
+def fillings(left: _Counts, capacity: int, nodes: int = NODES, kept: int = KEPT, allowed: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings around the largest piece: (waste, lengths), best first.
+
+    A place of the search chooses how many pieces of one length go in, the most first, so its depth is that of
+    different lengths and the first filling is the best-fit one. Fillings that waste more than ``allowed`` don't
+    count. One filling dominates another if the other's pieces can be dealt into the places of its pieces:
+    whatever packs the rest with the other does so with it.
+    """
     top = left.lengths[-1]
+    have = lambda x: left.counts[x] - (x == top)
     found: dict[tuple[int, ...], int] = {}
-    seen = 0
+    stack: list[tuple[int, int, int, tuple[tuple[int, int], ...]]] = []
 
-    def look(room: int, most: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal seen
-        seen += 1
-        i = bisect_right(left.lengths, min(room, most)) - 1
-        tried = 0
-        while i >= 0 and tried < width:
-            x = left.lengths[i]
+    def go_on(room: int, i: int, chosen: tuple[tuple[int, int], ...]) -> None:
+        i = min(i, bisect_right(left.lengths, room) - 1)
+        while i >= 0 and not have(left.lengths[i]):
             i -= 1
-            if left.counts[x] <= chosen.count(x):
-                continue
-            tried += 1
-            if look(room - x, x, (*chosen, x)):
-                return True
-            if seen > nodes:
-                return False
-        if not tried:  # maximal: nothing more fits
-            found[chosen] = room
-            return room == 0
-        return False
-
-    look(capacity - top, top, (top,))
+        if i >= 0:
+            x = left.lengths[i]
+            stack.append((room, i, min(room // x, have(x)), chosen))
+            return
+        used = dict(chosen)
+        spare = next((x for x in left.lengths if x > room or have(x) > used.get(x, 0)), capacity + 1)
+        if spare > room and (allowed is None or room <= allowed):  # nothing more fits
+            found[(top, *(x for x, m in chosen for _ in range(m)))] = room
+
+    go_on(capacity - top, len(left.lengths) - 1, ())
+    seen = 0
+    while stack and seen < nodes:
+        seen += 1
+        room, i, m, chosen = stack.pop()
+        if m:
+            stack.append((room, i, m - 1, chosen))
+        x = left.lengths[i]
+        go_on(room - m * x, i - 1, (*chosen, (x, m)) if m else chosen)
     out: list[tuple[int, tuple[int, ...]]] = []
     for filling, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0])):
-        # a filling is dominated by one of as many pieces that are each as large
-        if not any(len(f) == len(filling) and all(a >= b for a, b in zip(f, filling, strict=True)) for _, f in out):
+        if not any(_covers(f[1:], filling[1:]) for _, f in out):
             out.append((waste, filling))
         if len(out) == kept:
             break
     return out
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: by the total, and by pieces over half and what can't go beside them."""
+    best = -(-sum(k * v for k, v in counts.items()) // capacity)
+    for least in {0, *(k for k in counts if 2 * k <= capacity)}:
+        alone = sum(v for k, v in counts.items() if k > capacity - least)
+        half = [(k, v) for k, v in counts.items() if 2 * k > capacity and k <= capacity - least]
+        small = sum(k * v for k, v in counts.items() if k >= max(least, 1) and 2 * k <= capacity)
+        over = small - sum((capacity - k) * v for k, v in half)
+        best = max(best, alone + sum(v for _, v in half) + max(0, -(-over // capacity)))
+    return best
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """The first incumbent: each sequence takes the largest piece that fits, again and again."""
     left, plan = _Counts(counts), Plan(capacity)
@@ -210,21 +248,21 @@ def _largest_first(left: _Counts, capacity: int) -> tuple[int, ...]:
     return tuple(chosen)
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, backtracks: int = BACKTRACKS) -> Plan:
+def complete(counts: dict[int, int], capacity: int = CAPACITY, backtracks: int = BACKTRACKS, nodes: int = NODES) -> Plan:
     """The best packing found of the pieces, given how many there are of each length."""
     total = sum(k * v for k, v in counts.items())
-    least = -(-total // capacity)
+    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    if best.n_sequences == least:
-        return best
+    best.bound = least
     left = _Counts(counts)
     path: list[tuple[tuple[int, ...], int, list]] = []
     waste = back = 0
     while best.n_sequences > least:
         allowed = (best.n_sequences - 1) * capacity - total
-        options: list | None = fillings(left, capacity) if left.lengths else None
-        if options is None:
-            found = Plan(capacity, [(f, m) for f, m, _ in path])
+        if left.lengths:
+            options = fillings(left, capacity, nodes, allowed=allowed - waste)
+        else:
+            found = Plan(capacity, [(f, m) for f, m, _ in path], least)
             if found.n_sequences < best.n_sequences:
                 best = found
             options = []
@@ -257,20 +295,17 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = cut_pieces.sparkSession
     # a length that many documents share is dealt out over salts before it is numbered
-    salts = max(16, cut_pieces.count() // 2_000_000)
+    salts = max(16, cut_pieces.count() // TASK_PIECES)
     dealt = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = [(r["length"], r["_salt"], r["n"]) for r in dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "_salt").collect()]
-    counts: dict[int, int] = {}
-    before = []
-    for length, salt, n in sizes:
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    sizes = dealt.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    # at most a row for each length comes to the driver; the salts' shares stay a table
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    running = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
     plan = complete(counts, capacity)
-    shared = spark.sparkContext.broadcast(plan.intervals())
-    first = spark.createDataFrame(before, "length long, _salt int, _before long")
+    shared = spark.sparkContext.broadcast(plan.intervals())  # bounded by the capacity
     w = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    # at most capacity * salts rows
-    ranked = dealt.withColumn("_n", F.row_number().over(w)).join(F.broadcast(first), ["length", "_salt"])
+    ranked = dealt.withColumn("_n", F.row_number().over(w)).join(first, ["length", "_salt"])
     ranked = ranked.select(*cut_pieces.columns, (F.col("_before") + F.col("_n") - 1).alias("_rank"))
     schema = cut_pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 

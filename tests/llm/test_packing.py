@@ -61,3 +61,82 @@ def test_backtracking_finds_what_best_fit_misses():
 
 def test_empty_table(no_docs):
     assert packing.best_fit_packing(no_docs, JSON, RANKS, P.PATTERN).count() == 0
+
+
+def exact(counts, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    pieces = sorted((x for x, n in counts.items() for _ in range(n)), reverse=True)
+    best = len(pieces)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= pieces[i]}):
+            rest = list(rooms)
+            rest.remove(r)
+            put(i + 1, [*rest, r - pieces[i]])
+        put(i + 1, [*rooms, capacity - pieces[i]])
+
+    put(0, [])
+    return best
+
+
+def test_search_is_exact_on_small_residues():
+    rng = random.Random(4)
+    searched = 0
+    for trial in range(120):
+        counts = dict(Counter(rng.randint(12, 55) for _ in range(rng.randint(4, 10))))
+        want = exact(counts, 100)
+        plan = packing.complete(counts, 100)
+        assert plan.bound <= want == plan.n_sequences
+        searched += packing.best_fit(counts, 100).n_sequences > want
+    assert searched  # best fit alone would have missed some
+
+
+def test_many_short_texts():
+    for counts in ({1025: 4, 1: 1500}, {1025: 4, 700: 3, 1: 1500}, {1030: 5, 509: 9, 1: 100_000}, {2048: 3, 1: 1}):
+        plan = packing.complete(dict(counts), 2048)
+        used = Counter()
+        for filling, m in plan.steps:
+            assert sum(filling) <= 2048
+            for x, k in Counter(filling).items():
+                used[x] += k * m
+        assert used == counts and plan.n_sequences >= plan.bound >= packing.lower_bound(counts, 2048)
+
+
+def test_long_short_and_repeated_rows(spark):
+    long = "word " * 1100
+    rows = [(1, long, "x"), (1, long, "y"), (None, long, "x"), (None, None, "x"), (2, long * 3, "x")] + [(3, None if i % 2 else "", "x") for i in range(1500)]
+    out = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string, offset string"), JSON, RANKS, P.PATTERN)
+    got = out.collect()
+    assert sum(r.length == 1 for r in got) >= 1501 and sum(r.doc_id is None for r in got) == 2
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        ends = [0]
+        for o, n in sorted(own):
+            assert o == ends[-1]
+            ends.append(o + n)
+        assert ends[-1] <= 2048
+    assert len(held) == packing.lower_bound(Counter(r.length for r in got), 2048)
+
+
+def test_query_returns_every_piece_of_its_table(spark):
+    from lithos.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op8_packing(spark, sf).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(JSON)
+    tokens = Counter()
+    for r in got:
+        tokens[r.doc_id] += r.length
+    assert tokens == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in docs.items()}
+    assert len({r.sequence_id for r in got}) - packing.lower_bound(Counter(r.length for r in got), 2048) <= 1
