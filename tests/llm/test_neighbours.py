@@ -71,3 +71,43 @@ def test_small_leaves_are_visited_until_k_rows(spark):
     for k in (250, 400):
         got = neighbours.search(df, F.col("vec_id") % 100 == 0, k=k, target=0.1).groupBy("query_id").count().collect()
         assert {r.query_id: r["count"] for r in got} == dict.fromkeys((0, 100, 200), min(k, 299))
+
+
+def test_rows_that_share_an_id(spark):
+    x = [[float(i), 1.0] for i in range(12)]
+    rows = [(0, x[0], 0, "z", "z", "z"), (0, x[3], 0, "z", "z", "z")] + [(i, x[i], 0, "z", "z", "z") for i in range(1, 12)]
+    df = spark.createDataFrame(rows, DDL)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") == 0, k=10).collect())
+    want = []
+    for own in (0, 1):
+        near = sorted((abs(r[1][0] - rows[own][1][0]), r[0]) for j, r in enumerate(rows) if j != own)[:10]
+        want += [(n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_sample_is_bounded_and_leaves_grow():
+    sizes = [neighbours.sample_size(n) for n in (10, 20_000, 10**6, 10**8, 10**11)]
+    assert [s[0] for s in sizes] == [20_000, 20_000, 20_000, 200_000, 200_000]
+    leaves = [rows / each for rows, each in sizes]
+    assert leaves == sorted(leaves) and leaves[-1] == neighbours.MOST_SAMPLE_ROWS / neighbours.FEW_LEAF_ROWS
+
+
+def test_recall_of_the_query(spark):
+    """Against brute force, on the table that it is registered for."""
+    from lithos.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in df], float), np.array([r.vec_id for r in df])
+    got = {}
+    for r in queries.op3_neighbours(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    asking = [i for i in ids.tolist() if i % 100 == 0]
+    assert set(got) == set(asking)
+    hits = 0
+    for q in asking:
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(set(got[q]) & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        assert len(got[q]) == 10 and all(d[ids == j][0] == s for j, s in got[q].items())
+    assert hits >= 0.9 * 10 * len(asking)
