@@ -12,18 +12,19 @@ from lithos.policies import FloodPolicy
 def thresholds(df: DataFrame, keys: list[str], value: str, policy: FloodPolicy = FloodPolicy(), min_samples: int | None = None) -> DataFrame:
     """Exact, linearly interpolated percentiles of each key; NaN and null samples don't count.
 
-    ``ok`` tells whether there are enough samples and the thresholds strictly increase above 0.
+    ``ok`` tells whether there are enough samples, none is negative or infinite, and the thresholds strictly increase above 0.
     """
-    v = F.when(~F.isnan(value), F.col(value))
+    wrong = (F.col(value) < 0) | (F.col(value) == float("inf"))
+    v = F.when(~F.isnan(value) & ~wrong, F.col(value))
     q = F.percentile(v, F.array(*[F.lit(x) for x in policy.quantiles]))
     names = ["p" + f"{100 * x:g}".replace(".", "_") for x in policy.quantiles]
-    out = df.groupBy(*keys).agg(F.count(v).alias("samples"), q.alias("_q"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("samples"), q.alias("_q"), F.count_if(wrong).alias("_wrong"))
     for i, n in enumerate(names):
         out = out.withColumn(n, F.col("_q")[i])
     rising = F.lit(True)
     for a, b in zip(names[1:], names[2:], strict=False):
         rising = rising & (F.col(a) < F.col(b))
-    return out.drop("_q").withColumn("ok", (F.col("samples") >= (policy.min_samples if min_samples is None else min_samples)) & (F.col(names[1]) > 0) & rising)
+    return out.withColumn("ok", (F.col("_wrong") == 0) & (F.col("samples") >= (policy.min_samples if min_samples is None else min_samples)) & (F.col(names[1]) > 0) & rising).drop("_q", "_wrong")
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
@@ -120,3 +121,13 @@ def candidate_offsets(stations: DataFrame, k: int, step: float) -> DataFrame:
     s = F.sequence(F.lit(-k), F.lit(k))
     out = stations.withColumn("dy", F.explode(s)).withColumn("dx", F.explode(s))
     return out.withColumn("cell_lat", round_half_up(F.col("lat") + F.col("dy") * step, 4)).withColumn("cell_lon", round_half_up(F.col("lon") + F.col("dx") * step, 4))
+
+
+def running_sums(df: DataFrame, keys: list[str], hour: str, value: str, hours: int) -> DataFrame:
+    """The sum over ``hours`` full hours of each row, fresh and as a difference of running totals; both rounded to 9 decimals."""
+    w = Window.partitionBy(*keys).orderBy(hour)
+    s = df.withColumn("_all", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    frame = w.rangeBetween(-(hours - 1), 0)
+    s = s.withColumn("_c", F.count(value).over(frame)).withColumn("fresh", round_half_up(F.sum(value).over(frame), 9))
+    first = F.first(F.col("_all") - F.col(value)).over(w.rowsBetween(-(hours - 1), 0))
+    return s.withColumn("running", round_half_up(F.col("_all") - first, 9)).filter(F.col("_c") == hours).drop("_all", "_c")

@@ -185,3 +185,33 @@ def day_spine(df: DataFrame, start: str, days: int, keys: list[str], date: str)
     spine = df.select(*keys, start).distinct().withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(days))))
     spine = spine.withColumn(date, F.date_add(start, F.col("_d"))).drop("_d")
     return spine.join(df.drop(start), [*keys, date], "left")
+
+
+def for_pairs(df: DataFrame, requests: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``df`` for parallel arrays of values: each request's i-th values of the arrays name the columns' values of a row.
+
+    ``columns``: column of ``df`` by array of ``requests``; other columns of a request come along.
+    """
+    zipped = F.arrays_zip(*[F.col(a).alias(c) for a, c in columns.items()])
+    rest = [c for c in requests.columns if c not in columns]
+    asked = requests.select(*rest, F.explode(zipped).alias("_z")).select(*rest, *[F.col(f"_z.{c}").alias(c) for c in columns.values()])
+    return asked.join(df, list(columns.values()))
+
+
+def candidates(reports: DataFrame, members: DataFrame, seconds: float) -> DataFrame:
+    """(id, event) of the events that a report may join: those with a member near it in time, and its home.
+
+    ``reports``: id, t, home; ``members``: event, m_t.
+    """
+    near = band_join(reports.select("id", "t"), members.select("event", "m_t"), F.col("t"), F.col("m_t"), seconds, F.lit(True))
+    home = reports.filter("home IS NOT NULL").select("id", F.col("home").alias("event"))
+    return near.select("id", "event").union(home).distinct()
+
+
+def recorded_checks(recorded: DataFrame, events: DataFrame, before_days: int = 1, after_days: int = 2) -> DataFrame:
+    """Recorded fires (fire, day, lat, lon, radius_km) with how many events (first_day, lat, lon, level) began from a day before to two days after within their radius, and the highest level."""
+    e = events.select("first_day", F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"), "level")
+    spine = recorded.withColumn("first_day", F.explode(F.sequence(F.date_sub("day", before_days), F.date_add("day", after_days))))
+    hit = spine.join(e, "first_day").filter(haversine_km(F.col("lat"), F.col("lon"), F.col("e_lat"), F.col("e_lon")) <= F.col("radius_km"))
+    found = hit.groupBy("fire").agg(F.count(F.lit(1)).alias("events"), F.max("level").alias("level"))
+    return recorded.join(found, "fire", "left").select("fire", F.coalesce("events", F.lit(0)).alias("events"), "level")

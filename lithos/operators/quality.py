@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.policies import NATION, PROVINCE, UNIT_LIMITS, WarningPolicy
+from lithos.functions.geo import in_box
+from lithos.functions.ids import detection_id
+from lithos.policies import FEEDS, NATION, PROVINCE, UNIT_LIMITS, WarningPolicy
 
 
 def with_errors(df: DataFrame, rules: dict[str, Column], name: str = "errors") -> DataFrame:
@@ -29,18 +31,25 @@ def _outside(c: str, low: float, high: float) -> Column:
     return ~F.coalesce(F.col(c).between(low, high), F.lit(False)) | F.isnan(F.col(c).cast("double"))
 
 
-def quake_rules(skew_minutes: int = 10) -> dict[str, Column]:
-    long = lambda c: F.coalesce(F.octet_length(c) > 1024, F.lit(False))
+def quake_rules(skew_minutes: int = 10, texts: tuple[str, ...] = ("place",), urls: tuple[str, ...] = ("source_url",)) -> dict[str, Column]:
+    """``texts`` and ``urls`` are the columns that the feed has of these; lengths count bytes."""
+    name = r"^[\x21-\x7E]{1,128}$"
+    others = F.coalesce("alternate_ids", F.array().cast("array<string>"))
+    owner = F.create_map(*[F.lit(x) for kv in FEEDS.items() for x in kv])
+    any_of = lambda cs, f: F.coalesce(F.greatest(*[F.coalesce(f(c), F.lit(False)) for c in (*cs, cs[0])]), F.lit(False))
     return {
-        "id": ~F.coalesce(F.col("event_id").rlike(r"^[\x21-\x7E]{1,128}$"), F.lit(False)),
-        "alternate_ids": F.size(F.coalesce("alternate_ids", F.array().cast("array<string>"))) > 32,
+        "feed": ~owner[F.col("feed")].eqNullSafe(F.col("source")),
+        "id": ~F.coalesce(F.col("event_id").rlike(name), F.lit(False)),
+        "alternate_ids": (F.size(others) > 32) | F.exists(others, lambda x: ~F.coalesce(x.rlike(name), F.lit(False))),
         "latitude": _outside("latitude", -90, 90),
         "longitude": _outside("longitude", -180, 180),
         "magnitude": _outside("magnitude", -2, 10),
         "depth": _outside("depth_km", -10, 800),
+        "time": F.col("occurred_at").isNull() | F.col("fetched_at").isNull(),
         "future": F.col("occurred_at") > F.col("fetched_at") + F.expr(f"INTERVAL {skew_minutes} MINUTES"),
-        "place": long("place"),
-        "url": ~F.coalesce(F.col("source_url").rlike("^https://") | (F.col("source_url") == ""), F.lit(True)),
+        "tsunami": ~F.coalesce(F.col("tsunami").isin("unknown", "none", "potential"), F.lit(False)),
+        "text": any_of(texts, lambda c: F.octet_length(c) > 1024),
+        "url": any_of(urls, lambda c: (F.col(c) != "") & ~F.col(c).rlike("^https://")),
     }
 
 
@@ -56,6 +65,7 @@ def warning_rules(policy: WarningPolicy = WarningPolicy(), onset_may_equal: bool
         "references": F.col("msg_type").isin("Update", "Cancel") & (F.size(refs) == 0),
         "self_reference": F.exists(refs, lambda r: r["identifier"] == F.col("identifier")),
         "later_reference": F.exists(refs, lambda r: r["sent"] > F.col("sent")),
+        "reference_order": ~refs.eqNullSafe(F.array_sort(refs)),
         "repeated_reference": F.size(F.array_distinct(F.transform(refs, lambda r: r["identifier"]))) < F.size(refs),
         "ring": ~F.forall(F.coalesce("polygons", F.array().cast("array<array<struct<lat:double,lon:double>>>")), closed),
         "polygons": F.size("polygons") > policy.max_polygons,
@@ -72,6 +82,7 @@ def hotspot_rules(max_age_days: int = 10) -> dict[str, Column]:
     modis = F.col("product").startswith("MODIS")
     west, south, east, north = PROVINCE
     return {
+        "id": ~F.col("id").eqNullSafe(detection_id(F.col("product"), F.col("detected_at"), F.col("lat"), F.col("lon"))),
         "product": ~((modis & (F.col("instrument") == "MODIS")) | (F.col("product").startswith("VIIRS") & (F.col("instrument") == "VIIRS"))),
         "minute": F.second("detected_at") != 0,
         "box": ~(F.col("lat").between(south, north) & F.col("lon").between(west, east)),
@@ -81,6 +92,87 @@ def hotspot_rules(max_age_days: int = 10) -> dict[str, Column]:
     }
 
 
+def spec_errors(steps: DataFrame, spec: DataFrame, at: str = "valid_time", start: str = "window_start", end: str = "window_end") -> DataFrame:
+    """Long-form values (variable, value, ``at``, ``start``, ``end``, lat, lon, cell_lat, cell_lon) with the rules of their variable's spec that they break.
+
+    ``spec``: variable, low, high, whole, step_seconds, max_offset_deg; a handful of rows, one a variable.
+    """
+    j = steps.join(F.broadcast(spec), "variable", "left")
+    t = F.unix_timestamp(at)
+    value = F.col("value")
+    return with_errors(
+        j,
+        {
+            "variable": F.col("step_seconds").isNull(),
+            "step": t % F.col("step_seconds") != 0,
+            "window": (F.col(at) < F.col(start)) | (F.col(at) > F.col(end)),
+            "cell": F.greatest(F.abs(F.col("lat") - F.col("cell_lat")), F.abs(F.col("lon") - F.col("cell_lon"))) > F.col("max_offset_deg"),
+            "range": (value < F.col("low")) | (value > F.col("high")) | F.isnan("value"),
+            "whole": F.col("whole") & (value != F.floor("value")),
+        },
+    ).drop("low", "high", "whole", "step_seconds", "max_offset_deg")
+
+
+def forecast_errors(steps: DataFrame, run: list[str], at: str, issued: str, fetched: str) -> DataFrame:
+    """Errors of each village forecast: 1 to 200 steps in order, an analysis of at most 7 days ago, steps from a day before to ten after."""
+    day = F.expr("INTERVAL 1 DAY")
+    g = steps.groupBy(*run).agg(
+        F.count(at).alias("n"), F.countDistinct(at).alias("d"), F.min(F.col(at) - F.col(fetched)).alias("lo"), F.max(F.col(at) - F.col(fetched)).alias("hi"), F.max(F.col(fetched) - F.col(issued)).alias("age")
+    )
+    return with_errors(g, {"steps": ~F.col("n").between(1, 200), "order": F.col("d") < F.col("n"), "analysis": F.col("age") > 7 * day, "early": F.col("lo") < -1 * day, "late": F.col("hi") > 10 * day}).select(*run, "errors")
+
+
+def observation_errors(readings: DataFrame, message: list[str], most: int = 64, max_age_days: int = 7) -> DataFrame:
+    """Errors of each observation message: its readings (position, sensor_id, observed_at, issued_at, fetched_at) as they were sent."""
+    w = Window.partitionBy(*message).orderBy("position")
+    r = readings.withColumn("_back", F.col("sensor_id") <= F.lag("sensor_id").over(w))
+    g = r.groupBy(*message).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.coalesce("_back", F.lit(False))).alias("_back"), F.max("observed_at").alias("_new"), F.max("issued_at").alias("_issued"),
+        F.max(F.col("fetched_at") - F.col("observed_at")).alias("_age"),
+    )
+    return with_errors(g, {"readings": F.col("n") > most, "order": F.col("_back"), "age": F.col("_age") > F.expr(f"INTERVAL {max_age_days} DAYS"), "issued": ~F.col("_issued").eqNullSafe(F.col("_new"))}).select(*message, "errors")
+
+
+def clean_readings(readings: DataFrame, payload: str, max_age_hours: int) -> DataFrame:
+    """Readings (sensor_id, parameter, unit, value, observed_at, fetched_at) with their verdict: ok, repeated, invalid or stale, tested in this order."""
+    w = Window.partitionBy(payload, "sensor_id")
+    again = F.count(F.lit(1)).over(w) > 1
+    bad = ~within_unit_limit(F.col("parameter"), F.col("unit"), F.col("value")) | F.isnan("value") | (F.col("observed_at") > F.col("fetched_at"))
+    stale = F.col("observed_at") < F.col("fetched_at") - F.expr(f"INTERVAL {max_age_hours} HOURS")
+    return readings.withColumn("verdict", F.when(again, "repeated").when(F.coalesce(bad, F.lit(True)), "invalid").when(stale, "stale").otherwise("ok"))
+
+
+def catalogue_filter(df: DataFrame, at: str, start: Column, end: Column, box: tuple[float, float, float, float] = NATION) -> DataFrame:
+    """Origins in the box from ``start`` to before ``end``, without those equal to the one before in (time, id) order."""
+    kept = df.filter(in_box(F.col("lat"), F.col("lon"), box) & (F.col(at) >= start) & (F.col(at) < end))
+    return drop_adjacent(kept, [at, "id"], [at, "lat", "lon", "mag"])
+
+
+def accept(df: DataFrame, most: int | None, name: str = "errors") -> DataFrame:
+    """The valid rows; an error if more than ``most`` were rejected."""
+    good, bad = split(df, name)
+    if most is not None and (n := bad.count()) > most:
+        raise ValueError(f"{n} rows rejected, more than {most}")
+    return good
+
+
+#: The conditions on the columns of stored tables, by table; a null condition holds.
+TABLE_RULES: dict[str, dict[str, str]] = {
+    "event": {
+        "kind": "kind NOT IN ('quake', 'weather', 'flood', 'fire')", "status": "status NOT IN ('active', 'expired', 'merged', 'retracted')", "level": "level NOT BETWEEN 1 AND 4",
+        "revision": "revision < 1", "times": "expires_at <= occurred_at", "detected": "detected_at < occurred_at", "merged": "(status = 'merged') <> (merged_into IS NOT NULL)", "digest": "NOT digest RLIKE '^[0-9a-f]{64}$'",
+    },
+    "impact": {"distance": "distance_km < 0", "level": "level NOT BETWEEN 2 AND 4", "coverage": "coverage <= 0 OR coverage > 1", "measure": "(distance_km IS NULL) = (coverage IS NULL)"},
+    "threshold": {"rising": "NOT (p80 < p90 AND p90 < p98 AND p98 < p99_5)", "positive": "p80 <= 0", "correction": "correction <= 0 OR correction > 1", "samples": "samples < 3650"},
+    "fire": {"detections": "detections < 1", "peak": "peak > detections OR peak < 1", "times": "last_t < first_t", "power": "max_frp < 0"},
+}
+
+
+def table_violations(df: DataFrame, table: str) -> DataFrame:
+    """Rows of a stored table with the conditions that they break."""
+    return split(with_errors(df, {k: F.expr(c) for k, c in TABLE_RULES[table].items()}))[1]
+
+
 def model_rules(low: dict[str, tuple[float, float]]) -> dict[str, Column]:
     """Ranges of a long-form model run's variables, and a value at least in each step."""
     rules = {v: F.col(v).isNotNull() & _outside(v, a, b) for v, (a, b) in low.items()}
@@ -141,6 +233,11 @@ def site_kind(site_id: Column) -> Column:
     return F.when(site_id.rlike("^adm4:"), "village").when(site_id.rlike("^grid:"), "grid").when(site_id.rlike("^river:"), "river").when(site_id.rlike("^openaq:"), "station").when(site_id.rlike("^catchment:"), "catchment")
 
 
+def in_focus(codes: DataFrame, prefixes: list[str], code: str = "code") -> DataFrame:
+    """Each code once with its place: by the first prefix that fits, then by code."""
+    return codes.select(code).distinct().withColumn("focus", focus_order(F.col(code), prefixes)).orderBy("focus", code)
+
+
 def focus_order(code: Column, prefixes: list[str]) -> Column:
     """Rank by the first prefix that fits; the rest last."""
     out = F.lit(len(prefixes))

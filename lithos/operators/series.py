@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithos.operators.joins import band_join
 from lithos.operators.latest import latest_issue, newest
 
 
@@ -63,12 +62,6 @@ def only_products(events: DataFrame, allowed: list[str], products: str = "produc
     return events.filter(F.size(F.array_except(products, F.array(*[F.lit(p) for p in allowed]))) == 0)
 
 
-def near_in_time(left: DataFrame, right: DataFrame, at_left: str, at_right: str, seconds: int, key: str) -> DataFrame:
-    """Rows of both sides in one key at most so many seconds apart; times in epoch seconds."""
-    r = right.withColumnRenamed(key, "_key")
-    return band_join(left, r, F.col(at_left), F.col(at_right), seconds, F.col(key) == F.col("_key")).drop("_key")
-
-
 def largest(events: DataFrame, n: int) -> DataFrame:
     """The largest events by peak, detections, then start; the number is the feature."""
     return events.orderBy(F.desc("peak"), F.desc("detections"), "first_t").limit(n)
@@ -83,3 +76,19 @@ def changed_payloads(payloads: DataFrame) -> DataFrame:
     """Payloads whose digest differs from the connector's payload before."""
     w = Window.partitionBy("connector").orderBy("fetched_at", "key")
     return payloads.withColumn("_d", F.lag("digest").over(w)).filter(~F.col("_d").eqNullSafe(F.col("digest"))).drop("_d")
+
+
+def changed_records(records: DataFrame, partial: bool) -> DataFrame:
+    """Records (connector, poll, key, digest) that are new or changed, as polls of a connector follow on one another.
+
+    A whole feed forgets a key that a poll lacks, so the key is new when it comes back: each record is held against the
+    poll just before. A partial feed remembers every key: each record is held against the key's last one.
+    """
+    if partial:
+        w = Window.partitionBy("connector", "key").orderBy("poll")
+        old = F.lag("digest").over(w)
+        return records.withColumn("_d", old).filter(~F.col("_d").eqNullSafe(F.col("digest"))).drop("_d")
+    polls = records.select("connector", "poll").distinct()
+    polls = polls.withColumn("_before", F.lag("poll").over(Window.partitionBy("connector").orderBy("poll")))
+    old = records.select("connector", F.col("poll").alias("_before"), "key", F.col("digest").alias("_d"))
+    return records.join(polls, ["connector", "poll"]).join(old, ["connector", "_before", "key"], "left").filter(~F.col("_d").eqNullSafe(F.col("digest"))).select(*records.columns)

@@ -116,11 +116,12 @@ def fire_block_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that at least as many detections as the rule asks days for fell into."""
     c = fire.cell_statistics(_cells(spark, sf_dir), CELLS)
-    return c.filter((F.col("cy") * 7 + F.col("cx") * 3) % 5 < 2).select("cy", "cx")
+    return c.filter(F.col("days") >= CELLS.days).select("cy", "cx")
 
 
-@query(f"""WITH RECURSIVE {_CELL_SQL}, c AS (SELECT DISTINCT CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx FROM p WHERE (CAST(cy AS BIGINT) * 7 + CAST(cx AS BIGINT) * 3) % 5 < 2),
+@query(f"""WITH RECURSIVE {_CELL_SQL}, c AS (SELECT CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx FROM p GROUP BY cy, cx HAVING count(DISTINCT day) >= 4),
 k AS (SELECT cy, cx, lpad(CAST(cy + 10000000 AS VARCHAR), 9, '0') || ',' || lpad(CAST(cx + 10000000 AS VARCHAR), 9, '0') AS k FROM c),
 e AS (SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)

@@ -74,7 +74,7 @@ def quake_felt_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLACES_SQL = "p AS (SELECT c_custkey AS code, -7.9 + (c_custkey * 433 % 2200) / 1000.0 AS lat, 106.3 + (c_custkey * 2711 % 2600) / 1000.0 AS lon FROM customer)"
-_IMPACT_SQL = f"""WITH {EVENTS_SQL}, {_PLACES_SQL}, q AS (SELECT id, lat, lon, value / 75 AS m, id % 300 / 10.0 AS z FROM h WHERE value > 400 AND event_type = 'click'),
+_IMPACT_SQL = f"""WITH {EVENTS_SQL}, {_PLACES_SQL}, q AS (SELECT id, lat, lon, value / 75 AS m, id % 300 / 10.0 AS z FROM h),
 f AS (SELECT *, pow(10.0, m * 0.5 - 1) AS r FROM q), g AS (SELECT *, CASE WHEN z >= r THEN 0 ELSE sqrt(greatest(r * r - z * z, 0)) END AS felt FROM f),
 j AS (SELECT g.id AS event, p.code, {KM_SQL.format(a="g.", b="p.")} AS km, m, felt FROM g, p),
 l AS (SELECT *, CASE WHEN m + 1e-9 >= 6 AND km - 1e-9 <= 100 THEN 4 WHEN (km - 1e-9 <= felt AND m + 1e-9 >= 5) OR (m + 1e-9 >= 4.5 AND km - 1e-9 <= 50) THEN 3 WHEN km - 1e-9 <= felt THEN 2 ELSE 1 END AS level FROM j
@@ -83,7 +83,7 @@ l AS (SELECT *, CASE WHEN m + 1e-9 >= 6 AND km - 1e-9 <= 100 THEN 4 WHEN (km - 1
 
 
 def _impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = detections(spark, sf_dir).filter("value > 400 AND event_type = 'click'").select(F.col("id").alias("event"), (F.col("value") / 75).alias("mag"), (F.col("id") % 300 / 10.0).alias("depth"), "lat", "lon")
+    e = detections(spark, sf_dir).select(F.col("id").alias("event"), (F.col("value") / 75).alias("mag"), (F.col("id") % 300 / 10.0).alias("depth"), "lat", "lon")
     c = F.col("c_custkey")
     p = read_table(spark, sf_dir, "customer").select(c.alias("code"), (F.lit(-7.9) + (c * 433 % 2200) / 1000.0).alias("p_lat"), (F.lit(106.3) + (c * 2711 % 2600) / 1000.0).alias("p_lon"))
     return quake.impacts(e, p)

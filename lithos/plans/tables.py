@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lithos.functions import ids, text
 from lithos.functions.geo import round_half_up
 from lithos.functions.levels import severity_level
-from lithos.graph import connected_components
-from lithos.operators import joins, latest, quality, regions
+from lithos.operators import joins, latest, quality, regions, series, weather
 from lithos.plans.registry import EVENTS_SQL, detections, micros, query
 from lithos.session import read_table
+from lithos.sources import tabular
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (
@@ -70,9 +70,9 @@ SELECT id, min(node) AS chain FROM r GROUP BY id""")
 def warning_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as messages that refer to their customer's order before."""
     o = read_table(spark, sf_dir, "orders")
-    m = o.select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("ref"))
-    of = connected_components(m.filter("ref IS NOT NULL").select(F.col("id").alias("a"), F.col("ref").alias("b"))).toDF("id", "chain")
-    return m.select("id").join(of, "id", "left").select("id", F.coalesce("chain", "id").alias("chain"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    m = o.select(F.col("o_orderkey").alias("identifier"), before.alias("_r")).select("identifier", F.array_compact(F.array(F.when(F.col("_r").isNotNull(), F.struct(F.col("_r").alias("identifier"))))).alias("references"))
+    return weather.chains(m).select(F.col("identifier").alias("id"), "chain")
 
 
 @query("""WITH h AS (SELECT event_id, substr(sha256('fire' || chr(0) || CAST(event_id AS VARCHAR)), 1, 64) AS s FROM events)
@@ -181,6 +181,14 @@ def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _squares(spark, sf_dir).select("code", round_half_up(regions.planar_area(g), 6).alias("area"), round_half_up(b[0], 6).alias("west"), round_half_up(b[3], 6).alias("north"))
 
 
+@query(f"""WITH {_SQUARES_SQL}, o AS (SELECT a.code AS id, b.code AS code, greatest(0, least(a.w + a.size, b.w + b.size) - greatest(a.w, b.w)) * greatest(0, least(a.s + a.size, b.s + b.size) - greatest(a.s, b.s)) / (b.size * b.size) AS x FROM q a, q b),
+r AS (SELECT id, code, floor(x * 1e6 + 0.5) / 1e6 AS share FROM o WHERE x > 1e-9) SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, code) AS place FROM r""")
+def region_coverage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered regions of each shape, the most covered first."""
+    found = region_coverage(spark, sf_dir).withColumn("share", round_half_up(F.col("share"), 6))
+    return regions.ranked_coverage(found).withColumn("place", F.col("place").cast("long"))
+
+
 @query()
 def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact shares of all pairs of regions that overlap."""
@@ -194,10 +202,14 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("p.k").alias("k"), "event_type", round_half_up(F.col("value"), 2).alias("value"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squashed, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents WHERE NOT regexp_matches(text, '[^ -~\nÀ-ſ]')""")
+#: White space as Java's regular expressions have it: the SQL names the same characters.
+_WS = r"[ \t\n\x0B\f\r]+"
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(text, '{_WS}', ' ', 'g'), ' ') AS squashed, length(trim(regexp_replace(text, '{_WS}', ' ', 'g'), ' ')) AS n FROM documents""")
 def text_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = text.squash(F.col("text"))
-    return read_table(spark, sf_dir, "documents").filter("text NOT RLIKE '[^ -~\\n\\u00C0-\\u017F]'").select("doc_id", s.alias("squashed"), F.length(s).alias("n"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", s.alias("squashed"), F.length(s).cast("long").alias("n"))
 
 
 @query("""SELECT event_id, day(t) || ' ' || ['Jan', 'Feb', 'Mar', 'Apr', 'Mei', 'Jun', 'Jul', 'Agu', 'Sep', 'Okt', 'Nov', 'Des'][month(t)] || ' ' || year(t) || ' ' || strftime(t, '%H.%M') || ' WIB' AS said FROM (SELECT event_id, ts + INTERVAL 7 HOUR AS t FROM events)""")
@@ -205,10 +217,14 @@ def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select("event_id", text.local_time_text(F.col("ts")).alias("said"))
 
 
-@query("SELECT p_partkey, levenshtein(p_name, 'smal rng') AS d FROM part WHERE levenshtein(p_name, 'smal rng') <= 4")
+_TRI_SQL = "list_distinct(list_transform(range(1, greatest(length({x}) + 3 - 2, 1) + 1), lambda i: substr('  ' || {x} || ' ', i, 3)))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_TRI_SQL.format(x="trim(regexp_replace(lower(p_name), '[ ]+', ' ', 'g'))")} AS a, {_TRI_SQL.format(x="'smal rng'")} AS b FROM part),
+s AS (SELECT p_partkey, len(list_intersect(a, b)) AS n, len(list_distinct(list_concat(a, b))) AS m FROM p) SELECT p_partkey, n / m AS similarity FROM s WHERE n / m >= 0.3""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.levenshtein("p_name", F.lit("smal rng"))
-    return read_table(spark, sf_dir, "part").select("p_partkey", d.alias("d")).filter("d <= 4")
+    """Names that resemble a mistyped word."""
+    return text.trigram_search(read_table(spark, sf_dir, "part"), "p_partkey", "p_name", "smal rng", 0.3)
 
 
 @query("SELECT event_type AS connector, count(*) AS objects, CAST(sum(strlen(props)) AS BIGINT) AS bytes, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")
@@ -226,24 +242,44 @@ def outbox_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id FROM events JOIN p USING (event_type) WHERE ts < TIMESTAMP '2024-01-30' - days * INTERVAL 1 DAY AND event_id IN (SELECT event_id FROM b)""")
 def retention_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects past their connector's days, only if backed up."""
-    e = read_table(spark, sf_dir, "events")
-    policy = spark.createDataFrame([("click", 14), ("view", 8), ("error", 20)], "event_type string, days int")
-    backed = e.filter("event_id % 3 <> 0").select("event_id")
-    old = e.join(policy, "event_type").filter("datediff(date'2024-01-30', to_date(ts)) > days")
-    return old.join(backed, "event_id", "left_semi").select("event_id")
+    e = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("connector"), F.col("event_id").alias("key"), F.col("ts").alias("fetched_at"))
+    policy = spark.createDataFrame([("click", 14), ("view", 8), ("error", 20)], "connector string, days int")
+    return tabular.prunable(e, e.filter("key % 3 <> 0"), policy, F.lit("2024-01-30").cast("date")).select(F.col("key").alias("event_id"))
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT id FROM (SELECT id, props, lag(props) OVER (PARTITION BY user_id ORDER BY us, id) AS p FROM h) WHERE p IS DISTINCT FROM props""")
 def replay_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose content differs from their key's payload before."""
-    w = Window.partitionBy("user_id").orderBy("us", "id")
-    return detections(spark, sf_dir).withColumn("_p", F.lag("props").over(w)).filter(~F.col("_p").eqNullSafe(F.col("props"))).select("id")
+    """Payloads whose content differs from their connector's payload before."""
+    h = detections(spark, sf_dir).select(F.col("user_id").alias("connector"), F.col("us").alias("fetched_at"), F.col("id").alias("key"), F.col("props").alias("digest"))
+    return series.changed_payloads(h).select(F.col("key").alias("id"))
+
+
+_RECORDS_SQL = "r AS (SELECT event_type AS connector, epoch_us(ts) // 86400000000 AS poll, user_id AS key, CAST(floor(max(value) / 100) AS BIGINT) AS digest FROM events GROUP BY ALL)"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = detections(spark, sf_dir)
+    return h.groupBy(F.col("event_type").alias("connector"), F.floor(F.col("us") / 86_400_000_000).alias("poll"), F.col("user_id").alias("key")).agg(F.floor(F.max("value") / 100).alias("digest"))
+
+
+@query(f"""WITH {_RECORDS_SQL}, p AS (SELECT connector, poll, lag(poll) OVER (PARTITION BY connector ORDER BY poll) AS before FROM (SELECT DISTINCT connector, poll FROM r))
+SELECT r.connector, r.poll, r.key FROM r JOIN p USING (connector, poll) LEFT JOIN r o ON o.connector = r.connector AND o.poll = p.before AND o.key = r.key WHERE o.digest IS DISTINCT FROM r.digest""")
+def poll_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of whole daily feeds: keys that left a feed are forgotten."""
+    return series.changed_records(_records(spark, sf_dir), partial=False).select("connector", "poll", "key")
+
+
+@query(f"""WITH {_RECORDS_SQL} SELECT connector, poll, key FROM (SELECT *, lag(digest) OVER (PARTITION BY connector, key ORDER BY poll) AS d FROM r) WHERE d IS DISTINCT FROM digest""")
+def partial_poll_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of partial feeds: every key is remembered."""
+    return series.changed_records(_records(spark, sf_dir), partial=True).select("connector", "poll", "key")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_partkey % 7 = 0)")
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3)")
 def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").filter("l_quantity > 49 AND l_partkey % 7 = 0").select(F.col("l_suppkey").alias("s_suppkey"))
-    return regions.stale(read_table(spark, sf_dir, "supplier"), li, "s_suppkey").select("s_suppkey")
+    """Stored keys that a source no longer has; the source is the customers of three world regions."""
+    c = read_table(spark, sf_dir, "customer").join(F.broadcast(read_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # a fixed 25 rows
+    return regions.stale(read_table(spark, sf_dir, "supplier"), c.filter("n_regionkey < 3").select(F.col("c_custkey").alias("s_suppkey")), "s_suppkey").select("s_suppkey")
 
 
 @query("""SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 ELSE 1 END AS level FROM orders""")

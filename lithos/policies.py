@@ -80,6 +80,9 @@ class WarningPolicy:
     max_points: int = 200_000
 
 
+#: The source that each quake feed belongs to.
+FEEDS = {"auto": "bmkg", "latest": "bmkg", "felt": "bmkg", "geojson": "usgs"}
+
 #: Province and national boxes as (west, south, east, north).
 PROVINCE, NATION = (106.3, -7.9, 108.9, -5.7), (94.0, -12.0, 142.0, 7.0)
 

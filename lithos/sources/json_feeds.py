@@ -53,11 +53,11 @@ def agency_quakes(raw: DataFrame, feed: str, fetched_at: Column) -> tuple[DataFr
         F.coalesce(F.try_element_at(pair, F.lit(1)).try_cast("double"), hemisphere(F.col("g.Lintang"), "LS")).alias("latitude"),
         F.coalesce(F.try_element_at(pair, F.lit(2)).try_cast("double"), hemisphere(F.col("g.Bujur"), "BB")).alias("longitude"),
         number(F.col("g.Magnitude")).alias("magnitude"), F.lit("").alias("magnitude_type"), number(F.col("g.Kedalaman")).alias("depth_km"), F.col("g.Wilayah").alias("place"), F.col("g.Dirasakan").alias("felt"),
-        tsunami_status(F.col("g.Potensi")).alias("tsunami"), F.col("g.Potensi").alias("potential_text"), F.col("g.Shakemap").alias("shakemap_url"), F.array().cast("array<string>").alias("alternate_ids"),
+        tsunami_status(F.col("g.Potensi")).alias("tsunami"), F.col("g.Potensi").alias("potential_text"), F.col("g.Shakemap").alias("shakemap"), F.array().cast("array<string>").alias("alternate_ids"),
         F.lit("").alias("source_url"), fetched_at.alias("fetched_at"),
     )
     w = Window.partitionBy("path", "event_id")
-    rules = quake_rules() | {"repeated": F.col("_n") > 1}
+    rules = quake_rules(texts=("place", "felt", "potential_text")) | {"repeated": F.col("_n") > 1}
     return split(with_errors(rows.withColumn("_n", F.count(F.lit(1)).over(w)), rules).drop("_n"))
 
 
@@ -72,7 +72,7 @@ def geojson_quakes(raw: DataFrame, fetched_at: Column) -> tuple[DataFrame, DataF
         c[1].alias("latitude"), c[0].alias("longitude"), round_half_up(F.col(f"{p}.mag"), 2).alias("magnitude"), F.col(f"{p}.magType").alias("magnitude_type"), c[2].alias("depth_km"), F.col(f"{p}.place").alias("place"),
         F.lit("unknown").alias("tsunami"), F.timestamp_millis(f"{p}.updated").alias("source_updated_at"), F.col(f"{p}.status").alias("review_status"), others.alias("alternate_ids"), F.col(f"{p}.url").alias("source_url"), fetched_at.alias("fetched_at"),
     )
-    return split(with_errors(rows.filter(in_box(F.col("latitude"), F.col("longitude"), NATION)), quake_rules()))
+    return split(with_errors(rows.filter(in_box(F.col("latitude"), F.col("longitude"), NATION)), quake_rules(texts=("place", "magnitude_type", "review_status"))))
 
 
 STEP = "struct<datetime:string,t:double,tcc:double,tp:double,weather:int,wd_deg:double,ws:double,hu:double,vs:double,analysis_date:string>"

@@ -39,9 +39,9 @@ def drain(outbox: DataFrame, limit: int) -> DataFrame:
     return outbox.orderBy("id").limit(limit)
 
 
-def write_published(outbox: DataFrame, path: str) -> None:
-    """Append, by (event, revision): writing a batch again replaces its own folder, so it is safe to repeat."""
-    outbox.repartition("kind").sortWithinPartitions("event", "revision").write.mode("append").partitionBy("kind").parquet(path)
+def write_published(outbox: DataFrame, path: str, batch: int) -> None:
+    """A batch of messages in a folder of its own, by kind, in order of (event, revision): writing it again replaces it."""
+    outbox.repartition("kind").sortWithinPartitions("event", "revision").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch}")
 
 
 def write_series(df: DataFrame, path: str, day: str, keys: list[str]) -> None:
@@ -72,6 +72,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Seconds to wait before the second to the fifth attempt; after that a message is given up.
+RETRY_SECONDS = (1, 5, 15, 30)
+
+
+def outcomes(handled: DataFrame) -> DataFrame:
+    """Handled messages (attempt from 1, errors, transient) with what becomes of them: ack, retry (with its delay) or dead."""
+    ok = F.size("errors") == 0
+    again = F.coalesce("transient", F.lit(False)) & (F.col("attempt") <= len(RETRY_SECONDS))
+    delay = F.element_at(F.array(*[F.lit(x) for x in RETRY_SECONDS]), F.least("attempt", F.lit(len(RETRY_SECONDS))).cast("int"))
+    return handled.withColumn("outcome", F.when(ok, "ack").when(again, "retry").otherwise("dead")).withColumn("delay_seconds", F.when(~ok & again, delay))
+
+
 def dead_letters(rejected: DataFrame, subject: str) -> DataFrame:
     """Rejected rows with the reasons as headers."""
     return rejected.select(F.lit(subject).alias("subject"), F.array_join("errors", ",").alias("reason"), F.to_json(F.struct("*")).alias("body"))
