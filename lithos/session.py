@@ -26,13 +26,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    made only where nothing is set, as in tests.
+    made only where nothing is set and all runs in one process, as in tests.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lithos-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -155,8 +155,18 @@ def latest_values(raw: DataFrame, sensors: DataFrame, fetched_at: Column) -> Dat
     return v.join(sensors.select("sensor_id", "location_id", "site_id", "parameter", "unit"), ["sensor_id", "location_id"])
 
 
-def measurements(raw: DataFrame, sensor_id: Column) -> DataFrame:
-    """Backfilled values, timed at the end of their period."""
+def measurements(raw: DataFrame, sensor_id: Column, unit: Column, since: Column, until: Column) -> tuple[DataFrame, DataFrame]:
+    """(values, rejected pages) of backfilled values, timed at the end of their period.
+
+    A page (path) with a value that can't be read or whose unit is not the sensor's fails as a whole;
+    values outside (since, until] are left out.
+    """
     r = "struct<value:double,parameter:struct<name:string,units:string>,period:struct<datetimeTo:struct<utc:string>>>"
     v = raw.withColumn("r", F.explode(F.from_json("body", f"struct<results:array<{r}>>")["results"]))
-    return v.select("path", sensor_id.alias("sensor_id"), F.col("r.parameter.name").alias("parameter"), _unit(F.col("r.parameter.units")).alias("unit"), F.try_to_timestamp("r.period.datetimeTo.utc").alias("observed_at"), F.col("r.value").cast("float").alias("value"))
+    v = v.select("path", sensor_id.alias("sensor_id"), F.col("r.parameter.name").alias("parameter"), _unit(F.col("r.parameter.units")).alias("unit"), F.try_to_timestamp("r.period.datetimeTo.utc").alias("observed_at"), F.col("r.value").cast("float").alias("value"))
+    wrong = {"value": F.col("value").isNull(), "time": F.col("observed_at").isNull(), "parameter": ~F.coalesce(F.col("parameter").isin(*PARAMETERS), F.lit(False)), "unit": ~F.col("unit").eqNullSafe(unit)}
+    v = with_errors(v, wrong)
+    pages = v.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("errors")))).alias("errors"))
+    bad = pages.filter(F.size("errors") > 0)
+    kept = v.join(bad.select("path"), "path", "left_anti").drop("errors")
+    return kept.filter((F.col("observed_at") > since) & (F.col("observed_at") <= until)), bad

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from lithos.functions.geo import round_half_up
 from lithos.functions.ids import detection_id
 from lithos.functions.levels import confidence_class
+from lithos.operators.quality import split, with_errors
 
 HOTSPOTS = {
     "VIIRS": "latitude double, longitude double, bright_ti4 double, scan double, track double, acq_date string, acq_time string, satellite string, instrument string, confidence string, version string, bright_ti5 double, frp double, daynight string",
@@ -59,17 +62,25 @@ def archive_chunks(spark: SparkSession, availability: list[tuple[str, str, str]]
     return out.withColumn("final", F.col("product").endswith("_SP") | (F.datediff(F.lit(today).cast("date"), F.col("to_day")) > 7))
 
 
-def catalogue(spark: SparkSession, path: str, schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(rows, bad rows) of a historical catalogue; bad rows are skipped and kept apart to be counted."""
-    df = spark.read.csv(path, header=True, sep=sep, schema=f"{schema}, _corrupt_record string", columnNameOfCorruptRecord="_corrupt_record", mode="PERMISSIVE")
-    rows = df
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL")
+def catalogue(spark: SparkSession, path: str, schema: str, sep: str = ",", optional: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad rows) of a historical catalogue; bad rows are skipped and kept apart, as texts, to be counted.
+
+    Columns are found by their header; a row is bad if a column that isn't optional is empty or not of its type.
+    """
+    kinds = dict(x.strip().split(" ") for x in schema.split(","))
+    raw = spark.read.csv(path, header=True, sep=sep)
+    wrong = {c: F.col(f"_{c}").isNull() & (F.lit(c not in optional) | F.col(c).isNotNull()) for c in kinds}
+    both = with_errors(raw.select(*kinds, *[F.trim(F.col(c)).try_cast(t).alias(f"_{c}") for c, t in kinds.items()]), wrong)
+    good, bad = split(both)
+    return good.select(*[F.col(f"_{c}").alias(c) for c in kinds]), bad.select(*kinds, "errors")
 
 
 def calibration(spark: SparkSession, path: str, schema: str, n_rows: int | None = None) -> tuple[DataFrame, dict[str, str], str]:
     """(rows, comments as key: value, SHA-256) of a small lookup file with ``#`` comments; the header must be the schema's."""
-    lines = [r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect()]
-    body = lines[0] if lines else ""
+    files = [r["value"] for r in spark.read.text(path, wholetext=True).limit(2).collect()]
+    if len(files) > 1:
+        raise ValueError(f"{path}: more than one file")
+    body = files[0] if files else ""
     comments, header = {}, None
     for line in body.splitlines():
         if line.startswith("#"):
@@ -91,6 +102,30 @@ def catchments(df: DataFrame, tolerance: float = 0.002) -> DataFrame:
     return df.groupBy("subdas").agg(F.sum("bobot").alias("total")).filter(F.abs(F.col("total") - 1) > tolerance)
 
 
+#: The columns of other lookup files.
+LOOKUPS = {
+    "catchments": "subdas string, lat double, lon double, bobot double",
+    "grid": "id string, lat double, lon double",
+    "rivers": "id string, name string, river string, lat double, lon double",
+    "floods": "id string, day date, place string, stations string",
+    "fires": "id string, day date, lat double, lon double, radius_km double",
+    "static_sources": "id string, lat double, lon double, radius_km double, detections int, reason string",
+}
+
+
+def lookup(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, wrong rows) of a lookup file: wrong are rows without an id, with one that repeats, or off the map."""
+    df, _, _ = calibration(spark, path, LOOKUPS[kind])
+    key = df.columns[0]
+    many = F.lit(False) if kind == "catchments" else F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    rules = {"id": F.coalesce(F.trim(key) == "", F.lit(True)), "repeated": many}
+    if "lat" in df.columns:
+        rules["place"] = ~F.coalesce(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180), F.lit(False))
+    if "radius_km" in df.columns:
+        rules["radius"] = ~F.coalesce(F.col("radius_km") > 0, F.lit(False))
+    return split(with_errors(df, rules))
+
+
 def _tuples(text: str) -> Iterator[list[str | None]]:
     """Value lists of INSERT statements: a small lexer for quotes, escapes and comments."""
     i, n = 0, len(text)
@@ -140,13 +175,17 @@ def _tuples(text: str) -> Iterator[list[str | None]]:
 
 
 def sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of a dump's INSERT statements as strings, a file to a task."""
-    raw = spark.read.text(path, wholetext=True)
+    """Rows of a dump's INSERT statements as strings.
+
+    Files are read in pieces that end where a statement does (a semicolon at the end of a line), which a dump writes
+    for each statement and escapes in texts, so a large dump is many tasks and a piece is all that one holds.
+    """
+    raw = spark.read.option("lineSep", ";\n").text(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for body in b["value"]:
-                rows = [r for r in _tuples(body) if len(r) == len(columns)]
+                rows = [r for r in _tuples(body + ";\n") if len(r) == len(columns)]
                 for k in range(0, len(rows), 1000):
                     yield pd.DataFrame(rows[k : k + 1000], columns=columns, dtype=object)
 
@@ -156,13 +195,39 @@ def sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 KEY = r"^(.+)/(\d{4})/(\d{2})/(\d{2})/(\d{6})Z-([0-9a-f]{12})\.(\w+)\.gz$"
 
 
-def archive_index(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of the payload archive by their keys: connector, time, digest prefix; order of keys is order of time."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+def archive_index(spark: SparkSession, path: str, start_after: str | None = None, before: str | None = None, content: bool = False) -> DataFrame:
+    """Objects of the payload archive by their keys: connector, time, digest prefix; order of keys is order of time.
+
+    ``start_after`` and ``before`` cut out a range of one connector's keys; with ``content`` the bytes come along.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rel = F.regexp_extract("path", r"([^/]+/\d{4}/\d{2}/\d{2}/\d{6}Z-[0-9a-f]{12}\.\w+\.gz)$", 1)
     p = lambda i: F.regexp_extract(F.col("key"), KEY, i)
     f = f.withColumn("key", rel).filter("key != ''")
-    return f.select("path", "key", "length", p(1).alias("connector"), F.to_timestamp(F.concat(p(2), p(3), p(4), p(5)), "yyyyMMddHHmmss").alias("fetched_at"), p(6).alias("sha_prefix"))
+    if start_after is not None:
+        f = f.filter(F.col("key") > start_after)
+    if before is not None:
+        f = f.filter(F.col("key") < before)
+    return f.select("path", "key", "length", p(1).alias("connector"), F.to_timestamp(F.concat(p(2), p(3), p(4), p(5)), "yyyyMMddHHmmss").alias("fetched_at"), p(6).alias("sha_prefix"), *(["content"] if content else []))
+
+
+def archive_payloads(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, body) of objects with content, unpacked, and those that are damaged or whose digest is not their name's."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bodies: list[bytes | None] = []
+            for x in b["content"]:
+                try:
+                    bodies.append(gzip.decompress(x))
+                except (OSError, EOFError, zlib.error):
+                    bodies.append(None)
+            yield pd.DataFrame({"key": b["key"], "sha_prefix": b["sha_prefix"], "body": pd.Series(bodies, dtype=object)})
+
+    out = index.select("key", "sha_prefix", "content").mapInPandas(unpack, "key string, sha_prefix string, body binary")
+    rules = {"damaged": F.col("body").isNull(), "digest": F.substring(F.sha2("body", 256), 1, 12) != F.col("sha_prefix")}
+    good, bad = split(with_errors(out, rules))
+    return good.select("key", F.col("body").cast("string").alias("body")), bad.select("key", "errors")
 
 
 def archive_key(connector: Column, at: Column, digest: Column, ext: str) -> Column:
@@ -179,11 +244,11 @@ def not_backed_up(hot: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def prunable(hot: DataFrame, index: DataFrame, keep_days: DataFrame, today: Column) -> DataFrame:
-    """Objects past their connector's days (no row: kept for ever), only if they are backed up."""
+    """Objects past their connector's days (no row: kept for ever), only if they are backed up. ``keep_days`` has a row for each connector."""
     old = hot.join(F.broadcast(keep_days), "connector").filter(F.datediff(today, F.to_date("fetched_at")) > F.greatest("days", F.lit(8)))
     return old.join(index.select("key"), "key", "left_semi")
 
 
 def newest_of_each(index: DataFrame) -> DataFrame:
-    w = Window.partitionBy("connector").orderBy(F.desc("key"))
-    return index.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in index.columns if c != "connector"]
+    return index.groupBy("connector").agg(F.max_by(F.struct(*rest), "key").alias("_r")).select("connector", "_r.*")
