@@ -6,8 +6,9 @@ Two sets link when 100 * intersection >= ``percent`` * union.
 Candidates come from a prefix index: with the n-grams in one order for all, two sets
 that link share one in the first part of each. The order is by frequency, rare first,
 as counted over all documents in a table of fixed size, then by fingerprint. An index
-list holds (set, size, position). It is walked in blocks by size: a block whose sizes or
-positions leave no room for the overlap that is needed is skipped.
+list holds (set, size, position) in blocks of one size, sorted by position. For an entry, blocks
+too far in size are skipped whole, and in the others the positions that leave room for the overlap
+that is needed are one range, which is found by binary search: no other pair is formed.
 
 Answers are derived from those of similar sets. A list's sets are first compared with a
 pivot of it only; sets that the pivot links are one component, and their common answers
@@ -219,6 +220,39 @@ def _postings(docs: DataFrame, counts: np.ndarray, words: int, percent: int, buc
 LISTS = "kind int, list long, a long, b long, n long, place long"
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values from each row's low to below its high."""
+    n = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def skip_pairs(lists: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i before j, of entries in one list whose sizes and positions leave room for a link.
+
+    Entries are sorted by list, size and place. With p and q entries before them, two sets share at most
+    min(p, q) + min(n - p, m - q) n-grams, so q lies from ``needed - n + p`` to ``m - needed + p``.
+    """
+    n_rows = len(lists)
+    if n_rows < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new_list = np.concatenate([[True], lists[1:] != lists[:-1]])
+    new_block = new_list | np.concatenate([[True], sizes[1:] != sizes[:-1]])
+    list_of, block_of = np.cumsum(new_list) - 1, np.cumsum(new_block) - 1
+    first = np.flatnonzero(new_block)
+    by_size = (list_of[first] << 31) + sizes[first]
+    by_place = (block_of << 31) + places
+    # the blocks of the same list from an entry's own to the largest size that can link
+    end = np.searchsorted(by_size, (list_of << 31) + np.minimum(100 * sizes // percent, (1 << 31) - 1), side="right")
+    i, block = _ranges(block_of, end)
+    n, m, p = sizes[i], sizes[first[block]], places[i]
+    need = needed(n, m, percent)
+    low = np.searchsorted(by_place, (block << 31) + np.clip(need - n + p, 0, (1 << 31) - 1), side="left")
+    high = np.searchsorted(by_place, (block << 31) + np.clip(m - need + p, -1, (1 << 31) - 1), side="right")
+    row, j = _ranges(np.maximum(low, np.where(block == block_of[i], i + 1, 0)), high)
+    return i[row], j
+
+
 def _walk(table: pa.Table, percent: int, short: int) -> pa.Table:
     """Kind 0: candidate pairs (a, b) of short lists; kind 1: entries (list, a, n, place) of longer ones."""
     rows = table.to_pylist()
@@ -229,7 +263,7 @@ def _walk(table: pa.Table, percent: int, short: int) -> pa.Table:
     gram = np.concatenate([np.frombuffer(r["grams"], np.uint32) for r in rows])
     place = np.concatenate([np.frombuffer(r["places"], np.uint32) for r in rows]).astype(np.int64)
     s, n = np.repeat(sets, each), np.repeat(sizes, each)
-    order = np.lexsort((s, n, gram))
+    order = np.lexsort((s, place, n, gram))
     gram, s, n, place = gram[order], s[order], n[order], place[order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (s[1:] != s[:-1])  # a set that several blocks sent counts once
@@ -237,16 +271,12 @@ def _walk(table: pa.Table, percent: int, short: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     size = np.diff(np.append(first, len(gram)))
     length = np.repeat(size, size)
-    found = []
     few = np.flatnonzero((length > 1) & (length <= short))
-    g, x, m, p = gram[few], s[few], n[few], place[few]
-    for step in range(1, short):
-        i = np.flatnonzero(g[:-step] == g[step:]) if len(g) > step else np.zeros(0, int)
-        j = i + step  # sizes ascend in a list, so the block from here on is skipped once they are too far apart
-        fits = (100 * m[i] >= percent * m[j]) & (np.minimum(p[i], p[j]) + 1 + np.minimum(m[i] - p[i], m[j] - p[j]) - 1 >= needed(m[i], m[j], percent))
-        i, j = i[fits], j[fits]
-        found.append(np.stack([np.minimum(x[i], x[j]), np.maximum(x[i], x[j])], axis=1))
-    both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    i, j = skip_pairs(gram[few], n[few], place[few], percent)
+    i, j = few[i], few[j]
+    other = s[i] != s[j]  # two n-grams of one set may share a name
+    i, j = i[other], j[other]
+    both = np.unique(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], axis=1), axis=0)
     many = np.flatnonzero(length > short)
     k = len(both)
     none = pa.nulls(len(many), pa.int64())

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lithos.llm import jaccard
@@ -62,3 +63,18 @@ def test_bits_bound_the_difference():
         x = rng.integers(0, 1 << 60, n + m, np.uint64)
         a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:both], x[n:]]))
         assert jaccard.differing(jaccard.parity_bits(a), jaccard.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def test_skipping_loses_no_pair_and_forms_no_other():
+    rng = np.random.default_rng(3)
+    for percent in (75, 80, 95):
+        rows = sorted({(int(rng.integers(0, 6)), n := int(rng.integers(1, 40)), int(rng.integers(0, n - (percent * n + 99) // 100 + 1))) for _ in range(300)})
+        lists, sizes, places = (np.array(c, np.int64) for c in zip(*rows))
+        got = set(zip(*(x.tolist() for x in jaccard.skip_pairs(lists, sizes, places, percent))))
+        want = set()
+        for i, (g, n, p) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                h, m, q = rows[j]
+                if g == h and 100 * n >= percent * m and 100 * (min(p, q) + min(n - p, m - q)) * (100 + percent) >= 100 * percent * (n + m):
+                    want.add((i, j))
+        assert got == want
