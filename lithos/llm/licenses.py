@@ -1,14 +1,15 @@
 """License scans with a positional index of rare words.
 
-Document frequencies of the templates' words are counted over all documents.
-Each template is indexed under its highest-IDF words, with their places. A file
-looks up the indexed words that it holds; postings that agree on a relative
-position, but for a few words put in or left out, are an alignment of the template,
-which is scored by the template's words found in order and must hold the template's
+Document frequencies of the templates' words are counted over all documents. The index
+holds for each of these words its places in the templates. Of each template that a file has
+words enough of, the file looks up the words with the highest IDF that it holds; postings that
+agree on a relative position, but for a few words put in or left out, are an alignment of the
+template, which is scored by the template's words found in order and must hold the template's
 mandatory key phrases.
 
-Edge cases: a null or empty text has no words and no labels; repeated rows are
-scanned alike; an empty table gives no rows; other columns take no part.
+Edge cases: a null or empty text has no words and no labels; a row with a null id is scanned as any
+other; very long texts are scanned whole; repeated rows are scanned alike; an empty table gives no
+rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ TEMPLATES = (
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     Template("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
 )
-#: Words of each template that the index holds; share of words that an alignment needs; words by which it may drift, a fourth of the template at most.
+#: Words of a template that are looked up for a file, those with the highest IDF that it has; share of the weight that an alignment needs; words by which it may drift, a fourth of the template at most.
 RARE_WORDS, MIN_COVERAGE, DRIFT = 4, 0.8, 4
 
 
@@ -84,40 +85,48 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col
 
 
 class Index:
-    """Postings (template, place) under each template's rarest words."""
+    """For each word of the templates its postings (template, place), and its weight."""
 
     def __init__(self, templates: tuple[Template, ...], frequencies: dict[bytes, int], n_docs: int, rare_words: int = RARE_WORDS):
         self.templates = [(t.label, t.words, [tuple(words_of(k.encode())) for k in t.keys]) for t in templates]
         self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) + 1 for t in self.templates for w in t[1]}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need: list[int] = []
+        self.rare_words = rare_words
+        self.postings: dict[bytes, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, words, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare_words]
-            self.need.append((len(rare) + 1) // 2)
             for i, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((k, i))
-
-    def alignments(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[str, int, float]]:
+                self.postings[w][k].append(i)
+        self.postings = {w: dict(p) for w, p in self.postings.items()}
+        self.total = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
+
+    def looked_up(self, here: frozenset[bytes]) -> dict[int, list[bytes]]:
+        """For each template of which a file has words enough, the file's words of it with the highest IDF."""
+        weight: Counter[int] = Counter()
+        own: dict[int, list[bytes]] = defaultdict(list)
+        for w in sorted(here, key=lambda w: (-self.idf[w], w)):
+            for k, at in self.postings[w].items():
+                weight[k] += self.idf[w] * len(at)
+                own[k].append(w)
+        return {k: own[k][: self.rare_words] for k in own if weight[k] >= MIN_COVERAGE * self.total[k] - 1e-9}
+
+    def alignments(self, words: list[bytes], rare: dict[int, list[bytes]], places: dict[bytes, list[int]]) -> Iterator[tuple[str, int, float]]:
         """(label, first word, score) of each verified alignment."""
-        votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
-        for w, at in places.items():
-            for k, i in self.postings.get(w, ()):
-                for p in at:
-                    votes[k][p - i].add(w)
-        for k, starts in votes.items():
+        for k, chosen in rare.items():
+            starts: dict[int, set[bytes]] = defaultdict(set)
+            for w in chosen:
+                for i in self.postings[w][k]:
+                    for p in places.get(w, ()):
+                        starts[p - i].add(w)
             label, own, keys = self.templates[k]
             drift = min(DRIFT, len(own) // 4)
-            total = sum(self.idf[w] for w in own)
             used: set[int] = set()
             for start in sorted(starts, key=lambda x: (-len(starts[x]), x)):
                 near = [x for x in range(start - drift, start + drift + 1) if x in starts]
-                if start in used or len(set().union(*(starts[x] for x in near))) < self.need[k]:
+                if start in used or 2 * len(set().union(*(starts[x] for x in near))) < len(chosen):
                     continue
                 found, first, last = self._aligned(own, words, start, drift)
-                if found >= MIN_COVERAGE * total and all(_holds(words[first : last + 1], key) for key in keys):
+                if found >= MIN_COVERAGE * self.total[k] - 1e-9 and all(_holds(words[first : last + 1], key) for key in keys):
                     used.update(near)
-                    yield label, first, found / total
+                    yield label, first, found / self.total[k]
 
     def _aligned(self, own: tuple[bytes, ...], words: list[bytes], start: int, drift: int) -> tuple[float, int, int]:
         """(weight, first place, last place) of the heaviest words of a template that are found in order, none further than ``drift`` from its place."""
@@ -149,13 +158,15 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
     vocabulary = frozenset(w for t in templates for w in t.words)
     index = Index(templates, document_frequencies(docs, vocabulary, text_col), docs.count())
     base = [(tuple(words_of(p.encode())), label) for p, label in phrases.items()]
-    wanted = frozenset(index.postings) | {p[0] for p, _ in base}
+    heads = frozenset(p[0] for p, _ in base)
     id_type = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("score", pa.float64())])
 
     def look(doc_id: object, data: bytes | None) -> tuple:
         words = words_of(data)
-        here = wanted.intersection(words)
+        known = set(words)
+        rare = index.looked_up(vocabulary & known)
+        here = (heads & known).union(*rare.values())
         if not here:
             return doc_id, len(words), 0, None, None, "", "", 0.0, []
         places: dict[bytes, list[int]] = defaultdict(list)
@@ -170,7 +181,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases:
             if own:
                 starts += own
                 labels.add(label)
-        found = sorted(index.alignments(words, places), key=lambda x: (x[1], x[0]))
+        found = sorted(index.alignments(words, rare, places), key=lambda x: (x[1], x[0]))
         score = max((x[2] for x in found), default=0.0)
         first, last = (min(starts), max(starts)) if starts else (None, None)
         spans = [{"label": a, "first_word": b, "score": c} for a, b, c in found]

@@ -122,7 +122,8 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     part = id_and_bytes(docs.select(F.lit(0).alias("_k"), F.col(text_col).alias("_t")), "_k", "_t")
     if n > 8 * sample_rows:
         part = part.sample(fraction=8 * sample_rows / n, seed=11)
-    found = part.limit(sample_rows).mapInArrow(run, "rule string, seconds double, rejected long, n long")
+    # by a hash, so that the rows come from all partitions
+    found = part.orderBy(F.xxhash64("_t")).limit(sample_rows).mapInArrow(run, "rule string, seconds double, rejected long, n long")
     rows = found.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     return [(x["rule"], x["s"] / max(1, x["n"]), x["r"] / max(1, x["n"])) for x in rows]
 

@@ -35,6 +35,7 @@ other; an empty table gives no rows; all other columns are carried, whatever the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,7 +246,7 @@ def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int):
     schema = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("lengths", "ids", "no_id", "rows", "text"))])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 32
+        task, k_of = TaskContext.get().partitionId(), 0
         for b in batches:
             lengths = np.array([len(x) if x is not None else 0 for x in (y.as_buffer() for y in b.column(1))], np.int64)
             turn = np.cumsum(lengths) // part_bytes
@@ -258,9 +259,11 @@ def parts(docs: DataFrame, id_col: str, text_col: str, part_bytes: int):
                     w.write_batch(rows)
                 text = b"".join(x.as_py() or b"" for x in some.column(1))
                 ids = some.column(0)
+                # the name holds a digest of the part: a later reading that packs other rows gives another name, and is noticed
+                made = task << 44 | k_of << 32 | zlib.crc32(text, zlib.crc32(ids.fill_null(0).to_numpy().tobytes()))
                 cols = (made, lengths[own].tobytes(), ids.fill_null(0).to_numpy().tobytes(), np.asarray(ids.is_null()).tobytes(), _zip(sink.getvalue().to_pybytes()), _zip(text))
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-                made += 1
+                k_of += 1
 
     return sent, pack
 
@@ -374,11 +377,17 @@ def _covered(part: Part, classes: Classes, lower: np.ndarray, masks: np.ndarray)
     return np.cumsum(edge[:-1]) > 0
 
 
+def _same_parts(own: pa.Table, said: pa.Table) -> None:
+    """Verdicts on a part that isn't there mean that the input gave other rows than before; better no result than a wrong one."""
+    if said.num_rows and not own.num_rows:
+        raise RuntimeError("the input has other rows in its partitions than at the first reading: checkpoint it first")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, bucket_names: int = BUCKET_NAMES, sorted_blocks: int = SORTED_BLOCKS, as_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept) of each document; ``row`` holds the input's other columns, ``kept`` the remaining bytes (or, ``as_text``, their whole characters).
 
     ``docs`` is read three times and must give the same rows in the same partitions each
-    time, as files do; checkpoint it first if it doesn't. ``length`` is 24 to 79.
+    time, as files do; if it doesn't, the job fails: checkpoint it first. ``length`` is 24 to 79.
     """
     if not 24 <= length <= NAME + 63:
         raise ValueError("length must be from 24 to 79")
@@ -401,6 +410,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     wide = length - NAME
 
     def send_tuples(own: pa.Table, said: pa.Table) -> pa.Table:
+        _same_parts(own, said)
         rows = []
         for row in own.to_pylist():
             part = Part(row, length)
@@ -429,6 +439,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     out_type = StructType([StructField("row", row_type), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
 
     def finish(own: pa.Table, said: pa.Table) -> pa.Table:
+        _same_parts(own, said)
         found = []
         for row in own.to_pylist():
             part = Part(row, length)

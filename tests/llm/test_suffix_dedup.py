@@ -63,3 +63,14 @@ def test_induced_order_against_strings():
                 s = text[i, 4 - o : 10 - o].tobytes()
                 want = mine and any(group[j] == group[i] and doc[j] < doc[i] and least[j] <= o <= most[j] and text[j, 4 - o : 10 - o].tobytes() == s for j in range(n))
                 assert bool(said[i] >> np.uint64(o) & np.uint64(1)) == bool(want)
+
+
+def test_input_that_changes_between_readings_is_an_error(spark):
+    from pyspark.sql import functions as F
+
+    import uuid
+
+    fresh = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()  # another text at each reading
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("same words again and again "), 9), fresh()).alias("text"))
+    with pytest.raises(Exception, match="checkpoint it first"):
+        suffix_dedup.dedup(df).collect()
