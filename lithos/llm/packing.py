@@ -36,7 +36,7 @@ from lithos.session import cut
 
 CAPACITY = 2048
 #: Effort of the search: places looked at for the fillings around a piece, alternatives kept of them, steps back.
-NODES, KEPT, BACKTRACKS = 2_000, 8, 1_000
+NODES, KEPT, BACKTRACKS = 1_000, 8, 200
 #: Pieces of a length that are numbered in one task, about.
 TASK_PIECES = 2_000_000
 
