@@ -50,6 +50,7 @@ from lithos.session import cut
 LENGTH, NAME = 50, 16
 #: Bytes of text in a part, names in a bucket, blocks of a name that one bucket sorts.
 PART_BYTES, BUCKET_NAMES, SORTED_BLOCKS = 2_000_000, 400_000, 50_000
+CHANGED = "the input has other rows in its partitions than at the first reading: checkpoint it first"
 UNIQUE, ONE_BLOCK, MANY_BLOCKS, BY_STRING = range(4)
 
 _U = np.uint64
@@ -172,7 +173,9 @@ class Classes:
     """A part's instances (blocks, or single strings) of repeated names, and their distinct classes in order."""
 
     def __init__(self, part: Part, buckets: int, codes: np.ndarray):
-        _, _, _, which = _names(part, buckets)
+        names, _, _, which = _names(part, buckets)
+        if len(codes) != len(names):
+            raise RuntimeError(CHANGED)
         code = codes[which] if len(which) else np.zeros(0, np.uint8)
         whole = np.flatnonzero((code == ONE_BLOCK) | (code == MANY_BLOCKS))
         single = np.flatnonzero(code == BY_STRING)
@@ -380,7 +383,7 @@ def _covered(part: Part, classes: Classes, lower: np.ndarray, masks: np.ndarray)
 def _same_parts(own: pa.Table, said: pa.Table) -> None:
     """Verdicts on a part that isn't there mean that the input gave other rows than before; better no result than a wrong one."""
     if said.num_rows and not own.num_rows:
-        raise RuntimeError("the input has other rows in its partitions than at the first reading: checkpoint it first")
+        raise RuntimeError(CHANGED)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, bucket_names: int = BUCKET_NAMES, sorted_blocks: int = SORTED_BLOCKS, as_text: bool = False) -> DataFrame:
