@@ -10,13 +10,11 @@ from lithos.functions.geo import round_half_up
 from lithos.operators import fire, flood, joins, quake, quality, series, weather
 from lithos.plans.fires import _CIRCLES_SQL, _INSIDE_SQL, KM_SQL, _circles
 from lithos.plans.registry import EVENTS_SQL, detections, query
-from lithos.plans.validation import ID, errors_sql
+from lithos.plans.validation import errors_sql
 from lithos.policies import SNAP_EARTH_KM, MatchRule
 from lithos.session import read_table
 from lithos.sources import sinks, tabular
 
-TS = F.col("ts")
-
 
 def ntz(at: str):
     return F.lit(at).cast("timestamp_ntz")
@@ -38,7 +36,7 @@ _WIB_SQL = _DAY_SQL + " || ' ' || strftime({0} + INTERVAL 7 HOUR, '%H.%M')"
 @query(f"""WITH {EVENTS_SQL}, e AS (SELECT id, ts AS a, ts + (id % 30) * INTERVAL 1 HOUR AS b FROM h)
 SELECT id, {_WIB_SQL.format("a")} || CASE WHEN CAST(a + INTERVAL 7 HOUR AS DATE) = CAST(b + INTERVAL 7 HOUR AS DATE) THEN '–' || strftime(b + INTERVAL 7 HOUR, '%H.%M') ELSE ' – ' || {_WIB_SQL.format("b")} END || ' WIB' AS said FROM e""")
 def local_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(spark, sf_dir).select("id", text.local_range_text(TS, TS + hours(ID % 30)).alias("said"))
+    return detections(spark, sf_dir).select("id", text.local_range_text(F.col("ts"), F.col("ts") + hours(F.col("id") % 30)).alias("said"))
 
 
 @query(f"""WITH {EVENTS_SQL}, q AS (SELECT id, id % 97 / 10.0 + 0.01 AS m, CASE id % 3 WHEN 0 THEN 'Pusat gempa berada di laut ' || id WHEN 1 THEN 'pusat gempa berada  darat' ELSE '' END AS place, id % 90 - 5.0 AS z, CASE WHEN id % 4 = 0 THEN 'II-III Kota' ELSE '' END AS felt, CASE WHEN id % 2 = 0 THEN id % 80 / 1.0 ELSE 0 END AS r FROM h)
@@ -47,11 +45,11 @@ SELECT id, 'Gempa M' || replace(printf('%.1f', m), '.', ',') || CASE id % 3 WHEN
   || CASE WHEN r > 0 THEN ' Estimasi radius dirasakan ' || CAST(floor(r + 0.5) AS BIGINT) || ' km.' ELSE ' Estimasi: tidak dirasakan di permukaan.' END
   || CASE id % 3 WHEN 0 THEN ' BMKG: berpotensi tsunami.' WHEN 1 THEN ' Tidak berpotensi tsunami.' ELSE '' END || CASE WHEN id % 2 = 0 THEN ' Sumber: BMKG.' ELSE ' Sumber: USGS.' END AS summary FROM q""")
 def quake_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.when(ID % 3 == 0, F.concat(F.lit("Pusat gempa berada di laut "), ID.cast("string"))).when(ID % 3 == 1, "pusat gempa berada  darat").otherwise("")
-    felt_km = F.when(ID % 2 == 0, ID % 80 / 1.0).otherwise(0.0)
+    place = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Pusat gempa berada di laut "), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, "pusat gempa berada  darat").otherwise("")
+    felt_km = F.when(F.col("id") % 2 == 0, F.col("id") % 80 / 1.0).otherwise(0.0)
     return detections(spark, sf_dir).select(
-        "id", text.quake_title(ID % 97 / 10.0 + F.lit(0.01), place).alias("title"),
-        text.quake_summary(ID % 90 - F.lit(5.0), F.when(ID % 4 == 0, "II-III Kota").otherwise(""), felt_km, pick(("potential", "none", "unknown"), ID % 3), pick(("bmkg", "usgs"), ID % 2)).alias("summary"),
+        "id", text.quake_title(F.col("id") % 97 / 10.0 + F.lit(0.01), place).alias("title"),
+        text.quake_summary(F.col("id") % 90 - F.lit(5.0), F.when(F.col("id") % 4 == 0, "II-III Kota").otherwise(""), felt_km, pick(("potential", "none", "unknown"), F.col("id") % 3), pick(("bmkg", "usgs"), F.col("id") % 2)).alias("summary"),
     )
 
 
@@ -61,9 +59,9 @@ SELECT id, CASE WHEN trim(headline) <> '' THEN trim(headline) WHEN event IS NOT
   || CASE WHEN id % 7 = 0 THEN 'Dibatalkan BMKG pada ' || {_WIB_SQL.format("ts")} || ' WIB.' ELSE 'Berlaku ' || {_WIB_SQL.format("ts")} || CASE WHEN CAST(ts + INTERVAL 7 HOUR AS DATE) = CAST(b + INTERVAL 7 HOUR AS DATE) THEN '–' || strftime(b + INTERVAL 7 HOUR, '%H.%M') ELSE ' – ' || {_WIB_SQL.format("b")} END || ' WIB.' END
   || CASE WHEN n > 1 THEN ' Diperbarui ' || (n - 1) || ' kali.' ELSE '' END || ' Sumber: BMKG.' AS summary FROM w""")
 def warning_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.when(ID % 2 == 0, "Badai")
-    head = F.when(ID % 3 == 0, F.concat(F.lit("Hujan lebat "), ID.cast("string"))).otherwise(" ")
-    said = text.warning_summary(event, pick(("Minor", "Moderate", "Severe", "Extreme", "Unknown"), ID % 5), ID % 7 == 0, TS, TS, TS + hours(ID % 30), ID % 4)
+    event = F.when(F.col("id") % 2 == 0, "Badai")
+    head = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Hujan lebat "), F.col("id").cast("string"))).otherwise(" ")
+    said = text.warning_summary(event, pick(("Minor", "Moderate", "Severe", "Extreme", "Unknown"), F.col("id") % 5), F.col("id") % 7 == 0, F.col("ts"), F.col("ts"), F.col("ts") + hours(F.col("id") % 30), F.col("id") % 4)
     return detections(spark, sf_dir).select("id", text.warning_title(head, event).alias("title"), said.alias("summary"))
 
 
@@ -74,10 +72,10 @@ SELECT id, CASE WHEN id % 2 = 0 THEN 'Indikasi potensi banjir sub-DAS ' || site
   'Debit model di titik pantau ' || site || ' diprakirakan ' || n || ' m³/s pada ' || d || ', tingkat ' || l || ' (ambang 12,5 m³/s).' || CASE WHEN top IS NOT NULL THEN ' Skenario terburuk ensemble ' || replace(printf('%.1f', top), '.', ',') || ' m³/s.' ELSE '' END
   || CASE WHEN most = 3 THEN ' Debit di titik ini diatur waduk; tingkat dibatasi Siaga.' ELSE '' END || ' Debit model GloFAS, bukan pengukuran lapangan. Sumber: Open-Meteo.' AS discharge FROM g""")
 def flood_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    site, v, day, level = F.concat(F.lit("P"), F.col("user_id").cast("string")), ID % 1000 / 7.0, F.to_date(TS), ID % 4 + 1
+    site, v, day, level = F.concat(F.lit("P"), F.col("user_id").cast("string")), F.col("id") % 1000 / 7.0, F.to_date(F.col("ts")), F.col("id") % 4 + 1
     return detections(spark, sf_dir).select(
-        "id", text.flood_title(ID % 2 == 0, site, F.lit("Citarum")).alias("title"), text.rain_summary(site, v, F.lit(6), day, level, F.lit(12.5)).alias("rain"),
-        text.discharge_summary(site, v, day, level, F.lit(12.5), F.when(ID % 3 == 0, ID % 500 / 3.0), ID % 2 + 3).alias("discharge"),
+        "id", text.flood_title(F.col("id") % 2 == 0, site, F.lit("Citarum")).alias("title"), text.rain_summary(site, v, F.lit(6), day, level, F.lit(12.5)).alias("rain"),
+        text.discharge_summary(site, v, day, level, F.lit(12.5), F.when(F.col("id") % 3 == 0, F.col("id") % 500 / 3.0), F.col("id") % 2 + 3).alias("discharge"),
     )
 
 
@@ -125,7 +123,7 @@ def compacted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS_SQL} SELECT id, epoch_us(CASE id % 3 WHEN 0 THEN ts WHEN 1 THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 1 HOUR END) AS issued_us FROM h""")
 def issue_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = series.issued_at(pick(("bmkg", "openaq", "open-meteo"), ID % 3), TS, TS + hours(1), TS + hours(2))
+    at = series.issued_at(pick(("bmkg", "openaq", "open-meteo"), F.col("id") % 3), F.col("ts"), F.col("ts") + hours(1), F.col("ts") + hours(2))
     from lithos.plans.registry import micros
 
     return detections(spark, sf_dir).withColumn("i", at).select("id", micros("i").alias("issued_us"))
@@ -153,7 +151,7 @@ def series_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL} SELECT user_id AS site_id, arg_max(lat, t * 10000000 + id) AS cell, max(us) AS last_us FROM h GROUP BY 1""")
 def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites by their last fetch, whatever order they come in."""
-    h = detections(spark, sf_dir).select(F.col("user_id").alias("site_id"), F.col("lat").alias("cell"), (F.col("t") * 10_000_000 + ID).alias("last_fetched_at"), "us", "id")
+    h = detections(spark, sf_dir).select(F.col("user_id").alias("site_id"), F.col("lat").alias("cell"), (F.col("t") * 10_000_000 + F.col("id")).alias("last_fetched_at"), "us", "id")
     return series.site_upsert(h.filter("id % 2 = 0"), h.filter("id % 2 = 1")).select("site_id", "cell", F.col("us").alias("last_us"))
 
 
@@ -226,7 +224,7 @@ SELECT r.id, m.event FROM r JOIN m ON m.t BETWEEN r.t - 600 AND r.t + 600 UNION
 def quake_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a member near a report in time, and the report's own."""
     h = detections(spark, sf_dir)
-    reports = h.filter("event_type = 'error'").select("id", "t", F.when(ID % 3 == 0, F.col("user_id")).alias("home"))
+    reports = h.filter("event_type = 'error'").select("id", "t", F.when(F.col("id") % 3 == 0, F.col("user_id")).alias("home"))
     return joins.candidates(reports, h.filter("event_type = 'click'").select(F.col("user_id").alias("event"), F.col("t").alias("m_t")), 600)
 
 
@@ -244,14 +242,14 @@ def recorded_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded fires with the events near them, from a day before to two days after."""
     s = F.col("s_suppkey")
     r = read_table(spark, sf_dir, "supplier").select(s.alias("fire"), F.date_add(F.lit("2024-01-01").cast("date"), (s % 30).cast("int")).alias("day"), (F.lit(-7.9) + (s * 613 % 2200) / 1000.0).alias("lat"), (F.lit(106.3) + (s * 3571 % 2600) / 1000.0).alias("lon"), (F.lit(5.0) + s % 20).alias("radius_km"))
-    e = detections(spark, sf_dir).filter("event_type = 'click'").select(F.to_date("ts").alias("first_day"), "lat", "lon", (ID % 3 + 1).alias("level"))
+    e = detections(spark, sf_dir).filter("event_type = 'click'").select(F.to_date("ts").alias("first_day"), "lat", "lon", (F.col("id") % 3 + 1).alias("level"))
     return joins.recorded_checks(r, e)
 
 
 @query("""SELECT event_id AS key, event_type AS connector FROM events ORDER BY ts, connector, key""")
 def merged_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all connectors in one order."""
-    h = detections(spark, sf_dir).select(ID.alias("key"), F.col("event_type").alias("connector"), TS.alias("fetched_at"))
+    h = detections(spark, sf_dir).select(F.col("id").alias("key"), F.col("event_type").alias("connector"), F.col("ts").alias("fetched_at"))
     return tabular.merged_order(h).select("key", "connector")
 
 
@@ -296,7 +294,7 @@ def warning_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = detections(spark, sf_dir).withColumnRenamed("id", "chain")
     k = F.col("chain")
     before = h.filter(k % 5 != 0).select("chain", pick(("active", "expired", "active", "retracted"), k % 4).alias("status"), (k % 3).alias("digest"))
-    after = h.select("chain", (k % 2).alias("digest"), (k % 7 == 0).alias("cancelled"), TS.alias("expires_at"), F.when(k % 11 == 0, k - 1).alias("merged_into"))
+    after = h.select("chain", (k % 2).alias("digest"), (k % 7 == 0).alias("cancelled"), F.col("ts").alias("expires_at"), F.when(k % 11 == 0, k - 1).alias("merged_into"))
     return weather.lifecycle(before, after, ntz("2024-01-10 00:00:00"))
 
 
@@ -314,7 +312,7 @@ def warning_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, m AS (SELECT id, id % 7 AS attempt, id % 5 = 0 AS bad, id % 2 = 0 AS tr FROM h)
 SELECT id, CASE WHEN NOT bad THEN 'ack' WHEN tr AND attempt <= 4 THEN 'retry' ELSE 'dead' END AS outcome, CASE WHEN bad AND tr AND attempt <= 4 THEN [1, 5, 15, 30][attempt] END AS delay_seconds FROM m WHERE attempt > 0""")
 def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = detections(spark, sf_dir).select("id", (ID % 7).alias("attempt"), F.when(ID % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("errors"), (ID % 2 == 0).alias("transient"))
+    m = detections(spark, sf_dir).select("id", (F.col("id") % 7).alias("attempt"), F.when(F.col("id") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("errors"), (F.col("id") % 2 == 0).alias("transient"))
     return sinks.outcomes(m.filter("attempt > 0")).select("id", "outcome", "delay_seconds")
 
 

@@ -134,10 +134,11 @@ def fire_cell_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT cy, cx, lpad(CAST(cy + 10000000 AS VARCHAR), 9, '0') || ',' || lpad(CAST(cx + 10000000 AS VARCHAR), 9, '0') AS k FROM c), e AS (SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), o AS (SELECT a, min(b) AS component FROM r GROUP BY a), x AS (SELECT pp.*, component FROM pp JOIN k USING (cy, cx) JOIN o ON o.a = k.k),
 m AS (SELECT component, avg(lat) AS lat, avg(lon) AS lon, count(*) AS detections FROM x GROUP BY 1), f AS (SELECT component, max({KM_SQL.format(a="x.", b="m.")}) AS far FROM x JOIN m USING (component) GROUP BY 1)
-SELECT component, floor(lat * 1e5 + 0.5) / 1e5 AS c_lat, floor(lon * 1e5 + 0.5) / 1e5 AS c_lon, greatest(0.75, ceil((far + 0.5) * 100) / 100) AS radius_km, detections FROM m JOIN f USING (component)""")
+SELECT component, floor(floor(lat * 1e5 + 0.5) / 1e5 * 1e3 + 0.5) / 1e3 AS c_lat, floor(floor(lon * 1e5 + 0.5) / 1e5 * 1e3 + 0.5) / 1e3 AS c_lon, greatest(0.75, ceil((far + 0.5) * 100) / 100) AS radius_km, detections FROM m JOIN f USING (component)""")
 def fire_static_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks from blocks that look like lasting sources."""
-    return fire.static_sources(_cells(spark, sf_dir), CELLS)
+    """Masks from blocks that look like lasting sources; means are compared to three digits, as sums of doubles depend on their order."""
+    out = fire.static_sources(_cells(spark, sf_dir), CELLS)
+    return out.withColumn("c_lat", round_half_up(F.col("c_lat"), 3)).withColumn("c_lon", round_half_up(F.col("c_lon"), 3))
 
 
 _CIRCLES_SQL = "c AS (SELECT s_suppkey AS pos, -7.9 + (s_suppkey * 613 % 2200) / 1000.0 AS c_lat, 106.3 + (s_suppkey * 3571 % 2600) / 1000.0 AS c_lon, 1 + s_suppkey % 7 AS radius_km FROM supplier)"

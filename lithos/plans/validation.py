@@ -11,8 +11,6 @@ from lithos.plans.registry import EVENTS_SQL, detections, query
 from lithos.policies import PROVINCE
 from lithos.session import read_table
 
-ID = F.col("id")
-
 
 def errors_sql(rules: dict[str, str]) -> str:
     """The names of the conditions that hold, joined by commas."""
@@ -25,7 +23,7 @@ def said(df: DataFrame, *keys: str) -> DataFrame:
 
 def every(n: int, then, other):
     """``then`` in every n-th row."""
-    return F.when(ID % n == 0, then).otherwise(other)
+    return F.when(F.col("id") % n == 0, then).otherwise(other)
 
 
 _QUAKE_ERRORS = errors_sql({
@@ -41,11 +39,11 @@ def valid_quake_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that a report breaks."""
     ts = F.col("ts")
     r = detections(spark, sf_dir).select(
-        "id", every(17, F.lit(""), ID.cast("string")).alias("event_id"), F.when(F.col("event_type") == "click", "bmkg").otherwise("usgs").alias("source"),
+        "id", every(17, F.lit(""), F.col("id").cast("string")).alias("event_id"), F.when(F.col("event_type") == "click", "bmkg").otherwise("usgs").alias("source"),
         every(19, F.lit("x"), F.when(F.col("event_type") == "click", "auto").otherwise("geojson")).alias("feed"), every(23, F.array(F.lit("a b")), F.array().cast("array<string>")).alias("alternate_ids"),
-        (every(29, F.lit(20), F.lit(1)) * F.col("lat")).alias("latitude"), F.col("lon").alias("longitude"), (F.col("value") / 48).alias("magnitude"), (ID % 900 - F.lit(20.0)).alias("depth_km"),
-        F.when(ID % 43 != 0, every(31, ts + F.expr("INTERVAL 1 HOUR"), ts)).alias("occurred_at"), (ts + F.expr("INTERVAL 5 MINUTES")).alias("fetched_at"), every(37, F.lit("maybe"), F.lit("none")).alias("tsunami"),
-        F.repeat(F.lit("é"), (ID % 600).cast("int")).alias("place"), every(41, F.lit("http://x"), F.lit("")).alias("source_url"),
+        (every(29, F.lit(20), F.lit(1)) * F.col("lat")).alias("latitude"), F.col("lon").alias("longitude"), (F.col("value") / 48).alias("magnitude"), (F.col("id") % 900 - F.lit(20.0)).alias("depth_km"),
+        F.when(F.col("id") % 43 != 0, every(31, ts + F.expr("INTERVAL 1 HOUR"), ts)).alias("occurred_at"), (ts + F.expr("INTERVAL 5 MINUTES")).alias("fetched_at"), every(37, F.lit("maybe"), F.lit("none")).alias("tsunami"),
+        F.repeat(F.lit("é"), (F.col("id") % 600).cast("int")).alias("place"), every(41, F.lit("http://x"), F.lit("")).alias("source_url"),
     )
     return said(quality.with_errors(r, quality.quake_rules()), "id")
 
@@ -63,12 +61,12 @@ def valid_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule that a message breaks, here and with the door's own rule for the onset."""
     ts, hour = F.col("ts"), F.expr("INTERVAL 1 HOUR")
     ref = lambda i, at: F.struct(i.cast("string").alias("identifier"), F.lit("x").alias("sender"), at.alias("sent"))
-    refs = F.array(ref(ID - 1, ts - hour), ref(F.when(ID % 7 == 0, ID).when(ID % 13 == 0, ID - 1).otherwise(ID - 2), every(11, ts + hour, ts - 2 * hour)))
+    refs = F.array(ref(F.col("id") - 1, ts - hour), ref(F.when(F.col("id") % 7 == 0, F.col("id")).when(F.col("id") % 13 == 0, F.col("id") - 1).otherwise(F.col("id") - 2), every(11, ts + hour, ts - 2 * hour)))
     at = lambda x, y: F.struct(F.lit(float(x)).alias("lat"), F.lit(float(y)).alias("lon"))
     open_ring, ring = F.array(at(0, 0), at(0, 1), at(1, 1), at(1, 0)), F.array(at(0, 0), at(0, 1), at(1, 1), at(0, 0))
     m = detections(spark, sf_dir).select(
-        "id", ID.cast("string").alias("identifier"), ts.alias("sent"), ts.alias("effective"), (ts + (ID % 5) * hour).alias("onset"), (ts + (ID % 200) * hour).alias("expires"),
-        F.element_at(F.array(F.lit("Alert"), F.lit("Update"), F.lit("Cancel")), (1 + ID % 3).cast("int")).alias("msg_type"), F.when(ID % 4 != 0, refs).alias("references"), F.array(every(5, open_ring, ring)).alias("polygons"),
+        "id", F.col("id").cast("string").alias("identifier"), ts.alias("sent"), ts.alias("effective"), (ts + (F.col("id") % 5) * hour).alias("onset"), (ts + (F.col("id") % 200) * hour).alias("expires"),
+        F.element_at(F.array(F.lit("Alert"), F.lit("Update"), F.lit("Cancel")), (1 + F.col("id") % 3).cast("int")).alias("msg_type"), F.when(F.col("id") % 4 != 0, refs).alias("references"), F.array(every(5, open_ring, ring)).alias("polygons"),
     )
     both = quality.with_errors(quality.with_errors(m, quality.warning_rules(onset_may_equal=True), "_ingest"), quality.warning_rules())
     return both.select("id", F.array_join("errors", ",").alias("errors"), F.array_join("_ingest", ",").alias("at_ingest"))
@@ -102,7 +100,7 @@ def valid_village_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, v AS (SELECT id, CASE WHEN id % 9 <> 0 THEN value - 60 END AS temperature, CASE WHEN id % 6 <> 0 THEN value / 4 END AS humidity FROM h)
 SELECT id, {errors_sql({"temperature": "temperature IS NOT NULL AND NOT temperature BETWEEN -60 AND 400", "humidity": "humidity IS NOT NULL AND NOT humidity BETWEEN 0 AND 100", "empty_step": "temperature IS NULL AND humidity IS NULL"})} AS errors FROM v""")
 def valid_model_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = detections(spark, sf_dir).select("id", F.when(ID % 9 != 0, F.col("value") - 60).alias("temperature"), F.when(ID % 6 != 0, F.col("value") / 4).alias("humidity"))
+    v = detections(spark, sf_dir).select("id", F.when(F.col("id") % 9 != 0, F.col("value") - 60).alias("temperature"), F.when(F.col("id") % 6 != 0, F.col("value") / 4).alias("humidity"))
     return said(quality.with_errors(v, quality.model_rules({"temperature": (-60, 400), "humidity": (0, 100)})), "id")
 
 
@@ -117,7 +115,7 @@ def valid_against_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")
     v = detections(spark, sf_dir).select(
         "id", F.col("event_type").alias("variable"), every(2, F.floor("value").cast("double"), F.col("value")).alias("value"), every(3, F.date_trunc("HOUR", "ts").cast("timestamp_ntz"), at).alias("valid_time"),
-        F.lit("2024-01-03 00:00:00").cast("timestamp_ntz").alias("window_start"), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz").alias("window_end"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), (ID % 7 / 20.0).alias("cell_lat"), (ID % 5 / 40.0).alias("cell_lon"),
+        F.lit("2024-01-03 00:00:00").cast("timestamp_ntz").alias("window_start"), F.lit("2024-01-25 00:00:00").cast("timestamp_ntz").alias("window_end"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), (F.col("id") % 7 / 20.0).alias("cell_lat"), (F.col("id") % 5 / 40.0).alias("cell_lon"),
     )
     spec = spark.createDataFrame(_SPEC, "variable string, low double, high double, whole boolean, step_seconds int, max_offset_deg double")
     return said(quality.spec_errors(v, spec), "id")
@@ -127,13 +125,13 @@ def valid_against_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, {errors_sql({"id": "id % 11 = 0", "product": "id % 13 = 0", "minute": "id % 17 = 0", "box": "NOT lat BETWEEN -7.9 AND -5.7", "confidence": "modis <> (id % 3 > 0)", "brightness": "NOT k BETWEEN 200 AND 600 + 100", "age": "vt < TIMESTAMP '2024-01-20' - INTERVAL 10 DAY"})} AS errors FROM p""")
 def valid_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_trunc("MINUTE", "ts").cast("timestamp_ntz") + every(17, F.lit(1), F.lit(0)) * F.expr("INTERVAL 1 SECOND")
-    modis = ID % 4 < 2
+    modis = F.col("id") % 4 < 2
     p = detections(spark, sf_dir).select(
         "id", F.when(modis, "MODIS_NRT").otherwise("VIIRS_NOAA20_NRT").alias("product"), every(13, F.lit("other"), F.when(modis, "MODIS").otherwise("VIIRS")).alias("instrument"), at.alias("detected_at"),
-        (F.col("lat") + every(19, F.lit(5), F.lit(0))).alias("lat"), "lon", F.when(ID % 3 > 0, 50).alias("confidence_pct"), (F.col("value") + 180).alias("brightness_k"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("fetched_at"),
+        (F.col("lat") + every(19, F.lit(5), F.lit(0))).alias("lat"), "lon", F.when(F.col("id") % 3 > 0, 50).alias("confidence_pct"), (F.col("value") + 180).alias("brightness_k"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("fetched_at"),
     )
     derived = detection_id(F.col("product"), F.col("detected_at"), F.col("lat"), F.col("lon"))
-    p = p.withColumn("_n", ID).withColumn("id", every(11, F.lit("x"), derived))
+    p = p.withColumn("_n", F.col("id")).withColumn("id", every(11, F.lit("x"), derived))
     return said(quality.with_errors(p, quality.hotspot_rules()), "_n").withColumnRenamed("_n", "id")
 
 
@@ -142,9 +140,9 @@ SELECT id, CASE WHEN count(*) OVER (PARTITION BY user_id, d, sensor) > 1 THEN 'r
   WHEN ts < d + INTERVAL 24 HOUR - INTERVAL 6 HOUR THEN 'stale' ELSE 'ok' END AS verdict FROM r""")
 def clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of a payload (a user's day): repeated sensors, values beyond their limit and stale ones apart."""
-    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + ID % n).cast("int"))
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + F.col("id") % n).cast("int"))
     day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
-    r = detections(spark, sf_dir).select("id", F.struct("user_id", day.alias("d")).alias("payload"), (ID % 40).alias("sensor_id"), pick(["pm25", "no2", "co"], 3).alias("parameter"), pick(["µg/m³", "ppm"], 2).alias("unit"), "value", F.col("ts").alias("observed_at"), (day + F.expr("INTERVAL 24 HOURS")).alias("fetched_at"))
+    r = detections(spark, sf_dir).select("id", F.struct("user_id", day.alias("d")).alias("payload"), (F.col("id") % 40).alias("sensor_id"), pick(["pm25", "no2", "co"], 3).alias("parameter"), pick(["µg/m³", "ppm"], 2).alias("unit"), "value", F.col("ts").alias("observed_at"), (day + F.expr("INTERVAL 24 HOURS")).alias("fetched_at"))
     return quality.clean_readings(r, "payload", 6).select("id", "verdict")
 
 
@@ -155,7 +153,7 @@ def valid_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = detections(spark, sf_dir)
     newest = h.groupBy("user_id", "event_type").agg(F.max("ts").alias("_m"))
     issued = F.when(F.col("user_id") % 6 == 0, F.col("_m") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("_m"))
-    r = h.join(newest, ["user_id", "event_type"]).select("user_id", "event_type", ID.alias("position"), (ID % 100).alias("sensor_id"), F.col("ts").alias("observed_at"), issued.alias("issued_at"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("fetched_at"))
+    r = h.join(newest, ["user_id", "event_type"]).select("user_id", "event_type", F.col("id").alias("position"), (F.col("id") % 100).alias("sensor_id"), F.col("ts").alias("observed_at"), issued.alias("issued_at"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz").alias("fetched_at"))
     return said(quality.observation_errors(r, ["user_id", "event_type"], most=10), "user_id", "event_type")
 
 
@@ -171,8 +169,8 @@ def catalogue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relevant_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual messages of one province, named by the fifth part of the identifier."""
     m = detections(spark, sf_dir)
-    name = F.concat(F.lit("2.49.0.0."), (ID % 3 + 359).cast("string"), F.lit("."), ID.cast("string"))
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("Alert", "Update", "Cancel", "Ack")]), (1 + ID % 4).cast("int"))
+    name = F.concat(F.lit("2.49.0.0."), (F.col("id") % 3 + 359).cast("string"), F.lit("."), F.col("id").cast("string"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Alert", "Update", "Cancel", "Ack")]), (1 + F.col("id") % 4).cast("int"))
     return m.filter(quality.warning_relevance(name, every(5, F.lit("Test"), F.lit("Actual")), kind, "360")).select("id")
 
 
@@ -213,8 +211,8 @@ def event_table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (1 + i).cast("int"))
     ts, hour = F.col("ts"), F.expr("INTERVAL 1 HOUR")
     e = detections(spark, sf_dir).select(
-        "id", pick(("quake", "weather", "flood", "fire", "wind"), ID % 5).alias("kind"), pick(("active", "expired", "merged", "retracted", "open"), F.floor(ID % 11 / 2) % 5).alias("status"), (ID % 6).alias("level"), (ID % 13).alias("revision"), ts.alias("occurred_at"),
-        (ts + (ID % 17) * hour).alias("expires_at"), (ts + (ID % 19 - 1) * hour).alias("detected_at"), F.when(ID % 3 == 0, ID).alias("merged_into"), every(31, F.lit("x"), F.sha2(ID.cast("string"), 256)).alias("digest"),
+        "id", pick(("quake", "weather", "flood", "fire", "wind"), F.col("id") % 5).alias("kind"), pick(("active", "expired", "merged", "retracted", "open"), F.floor(F.col("id") % 11 / 2) % 5).alias("status"), (F.col("id") % 6).alias("level"), (F.col("id") % 13).alias("revision"), ts.alias("occurred_at"),
+        (ts + (F.col("id") % 17) * hour).alias("expires_at"), (ts + (F.col("id") % 19 - 1) * hour).alias("detected_at"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("merged_into"), every(31, F.lit("x"), F.sha2(F.col("id").cast("string"), 256)).alias("digest"),
     )
     return said(quality.table_violations(e, "event"), "id")
 
@@ -222,7 +220,7 @@ def event_table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL}, i AS (SELECT id, CASE WHEN id % 4 < 3 THEN value - 5 END AS distance_km, id % 6 AS level, CASE WHEN id % 3 = 0 THEN value / 400 END AS coverage FROM h),
 v AS (SELECT id, {errors_sql({"distance": "distance_km < 0", "level": "level NOT BETWEEN 2 AND 4", "coverage": "coverage <= 0 OR coverage > 1", "measure": "(distance_km IS NULL) = (coverage IS NULL)"})} AS errors FROM i) SELECT * FROM v WHERE errors <> ''""")
 def impact_table_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = detections(spark, sf_dir).select("id", F.when(ID % 4 < 3, F.col("value") - 5).alias("distance_km"), (ID % 6).alias("level"), F.when(ID % 3 == 0, F.col("value") / 400).alias("coverage"))
+    i = detections(spark, sf_dir).select("id", F.when(F.col("id") % 4 < 3, F.col("value") - 5).alias("distance_km"), (F.col("id") % 6).alias("level"), F.when(F.col("id") % 3 == 0, F.col("value") / 400).alias("coverage"))
     return said(quality.table_violations(i, "impact"), "id")
 
 
@@ -256,4 +254,4 @@ def region_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lithos.functions.geo import in_box
 
-    return detections(spark, sf_dir).select("id", quality.in_nation(F.col("lat"), F.col("lon")).alias("nation"), in_box(F.col("lat") + ID % 3, F.col("lon"), PROVINCE).alias("province"))
+    return detections(spark, sf_dir).select("id", quality.in_nation(F.col("lat"), F.col("lon")).alias("nation"), in_box(F.col("lat") + F.col("id") % 3, F.col("lon"), PROVINCE).alias("province"))
