@@ -48,21 +48,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Each step is one aggregation and one join, so no task ever needs a whole
     neighbourhood; the number of rounds grows with the logarithm of the size.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    e = cut(e)
-    before = None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v"))
+    kind = e.schema["u"].dataType.simpleString()
+
+    def local(df: DataFrame) -> DataFrame:
+        return cut(df.mapInArrow(_local_stars, f"u {kind}, v {kind}"))
+
+    e, before = local(e), None
     few = max(1, -(-e.count() // TASK_EDGES))
 
     def packed(df: DataFrame) -> DataFrame:
         return df.coalesce(few) if few < df.sparkSession._jsc.sc().defaultParallelism() * 4 else df
 
-    kind = e.schema["u"].dataType.simpleString()
     def stars(df: DataFrame) -> DataFrame:
         own = df.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        return own.unionAll(own.select(F.col("component").alias("node"), "component").distinct())
+        return own.unionAll(packed(own.select(F.col("component").alias("node"), "component").distinct()))
 
-    kind = e.schema["u"].dataType.simpleString()
-    e = cut(packed(e).mapInArrow(_local_stars, f"u {kind}, v {kind}"))
+    e = local(packed(e))
     if few == 1:
         return stars(e)
     e = packed(e)
