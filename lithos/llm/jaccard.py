@@ -47,6 +47,8 @@ BUCKET_POSTINGS, SHORT_LIST, PIVOTS = 2_000_000, 8, 2
 CELL_SETS = 20_000
 #: Documents whose postings a task gathers before sending.
 BLOCK_POSTINGS = 1_000_000
+#: Rows of pairs, entries or sets that a task works on, about; small tables are kept in few partitions.
+TASK_ROWS = 10_000
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -217,6 +219,12 @@ def _postings(docs: DataFrame, counts: np.ndarray, words: int, percent: int, buc
     return id_and_bytes(docs).mapInArrow(run, POSTINGS)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about so many rows in as many partitions as these need, where that is few; larger tables are left as they are."""
+    few = max(1, -(-rows // TASK_ROWS))
+    return df.coalesce(few) if few < df.sparkSession._jsc.sc().defaultParallelism() * 4 else df
+
+
 LISTS = "kind int, list long, a long, b long, n long, place long"
 
 
@@ -304,32 +312,38 @@ def set_names(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return id_and_bytes(rows).mapInArrow(run, f"doc_id {id_type}, set long")
 
 
+#: Pairs of sets, with a document of each.
+NEAR = "a long, b long, a_doc long, b_doc long"
+
+
 class _Verifier:
     """Compares candidate pairs of sets, exactly."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, words: int, percent: int):
         self.docs, self.sets, self.words, self.percent = docs, sets, words, percent
 
-    def _near(self, candidates: DataFrame) -> DataFrame:
-        """Pairs that bit vectors don't rule out."""
+    def _near(self, candidates: DataFrame, rows: int) -> DataFrame:
+        """Pairs that bit vectors don't rule out, with a document of each set. There are about so many candidates."""
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, _, n, m, x, y = (c.to_pylist() for c in batch.columns)
+                n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
                 most = [p + q - 2 * (-(-percent * (p + q) // (100 + percent))) for p, q in zip(n, m, strict=True)]
                 ok = [differing(u, v) <= d for u, v, d in zip(x, y, most, strict=True)]
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "a_doc", "b_doc"])
 
-        s = self.sets.select("set", "n", "bits")
-        both = candidates.join(s.toDF("a", "n", "x"), "a").join(s.toDF("b", "m", "y"), "b")
+        s = self.sets.select("set", "n", "bits", "doc_id")
+        both = packed(packed(candidates, rows).join(s.toDF("a", "n", "x", "a_doc"), "a"), rows)
+        both = packed(both.join(s.toDF("b", "m", "y", "b_doc"), "b"), rows)
         both = both.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "n", "m", "x", "y", "a_doc", "b_doc").mapInArrow(run, NEAR)
 
-    def _fetch(self, near: DataFrame) -> DataFrame:
+    def _fetch(self, near: DataFrame, rows: int) -> DataFrame:
         """(set, grams) of the sets in these pairs, made again from one document of each."""
         spark, words, bits = near.sparkSession, self.words, FILTER_BITS
-        asked = near.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.sets.select("set", "doc_id"), "set")
+        ends = F.explode(F.array(*(F.struct(F.col(c).alias("set"), F.col(f"{c}_doc").alias("doc_id")) for c in "ab")))
+        asked = near.select(ends.alias("end")).select("end.*")
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +353,7 @@ class _Verifier:
             yield batch_of([(np.packbits(own).tobytes(),)], pa.schema([("m", pa.binary())]))
 
         total = np.zeros(bits // 8, np.uint8)  # of fixed size, and so is the number of parts it comes in
-        for r in asked.select(slot.alias("s")).distinct().coalesce(4).mapInArrow(mark, "m binary").toLocalIterator():
+        for r in asked.select(slot.alias("s")).coalesce(4).mapInArrow(mark, "m binary").toLocalIterator():
             total |= np.frombuffer(r["m"], np.uint8)
         shared = spark.sparkContext.broadcast(total)
 
@@ -356,28 +370,29 @@ class _Verifier:
 
         made = id_and_bytes(self.docs, "doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).cast("int").alias("slot")).mapInArrow(look, "set long, grams binary")
         # ids may clash in the filter or repeat in the table
-        return made.join(asked.select("set"), "set", "left_semi").groupBy("set").agg(F.first("grams").alias("grams"))
+        return packed(made.join(packed(asked.select("set").distinct(), 2 * rows), "set", "left_semi").groupBy("set").agg(F.first("grams").alias("grams")), 2 * rows)
 
-    def links(self, candidates: DataFrame) -> DataFrame:
-        """(a, b) of the candidates that link."""
-        return self.exact(self._near(candidates))
+    def links(self, candidates: DataFrame, rows: int) -> DataFrame:
+        """(a, b) of the candidates that link; there are about so many."""
+        return self.exact(self._near(candidates, rows))
 
-    def rest(self, left: DataFrame) -> DataFrame:
+    def rest(self, left: DataFrame, rows: int) -> DataFrame:
         """Pairs of different components that bit vectors don't rule out, where both sets stand in lists with one commonest component.
 
         Sets outside that component are held against all sets of these lists, in blocks;
         no pair is written unless it may link.
         """
-        percent, bits = self.percent, self.sets.select(F.col("set").alias("a"), "bits")
-        own = left.groupBy("main", "a").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(bits, "a")
+        percent, bits = self.percent, self.sets.select(F.col("set").alias("a"), "bits", "doc_id")
+        own = packed(left.groupBy("main", "a").agg(F.first("n").alias("n"), F.first("label").alias("label")), rows)
+        own = packed(own.join(bits, "a"), rows)
         size = own.groupBy("main").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("label") != F.col("main")).alias("_few"))
         blocks = lambda c: F.ceil(F.col(c) / CELL_SETS).cast("int")
         deal = lambda c, salt: F.pmod(F.xxhash64("a", F.lit(salt)), blocks(c)).cast("int")
         every = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(blocks(c), F.lit(1)) - 1))
-        own = cut(own.join(size, "main"))
+        own = cut(packed(own.join(packed(size, rows), "main"), rows))
         few = own.filter("label != main").withColumn("i", deal("_few", "few")).withColumn("j", every("_all"))
         every_one = own.filter("_few > 0").withColumn("j", deal("_all", "all")).withColumn("i", every("_few"))
-        cols = "main", "i", "j", "a", "n", "label", "bits"
+        cols = "main", "i", "j", "a", "n", "label", "bits", "doc_id"
 
         def fold(rows: list[bytes], to: int) -> np.ndarray:
             out = np.zeros((len(rows), to), np.uint8)
@@ -401,10 +416,12 @@ class _Verifier:
                             at = q[at[least <= xn[k] + yn[q[at]] - 2 * needed(xn[k], yn[q[at]], percent)]]
                             found.append(np.stack([np.minimum(xa[k], ya[at]), np.maximum(xa[k], ya[at])], axis=1))
             both = np.unique(np.concatenate(found), axis=0)
-            return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            doc = {a: d for t in (x, y) for a, d in zip(t.column("a").to_pylist(), t.column("doc_id").to_pylist(), strict=True)} if len(both) else {}
+            docs = [pa.array([doc[a] for a in both[:, k].tolist()], pa.int64()) for k in (0, 1)]
+            return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *docs], names=["a", "b", "a_doc", "b_doc"])
 
         cell = ("main", "i", "j")
-        return few.select(*cols).toDF(*cols).groupBy(*cell).cogroup(every_one.select(*cols).groupBy(*cell)).applyInArrow(compare, "a long, b long").distinct()
+        return few.select(*cols).toDF(*cols).groupBy(*cell).cogroup(every_one.select(*cols).groupBy(*cell)).applyInArrow(compare, NEAR).distinct()
 
     def exact(self, near: DataFrame) -> DataFrame:
         """(a, b) of these pairs that link."""
@@ -420,20 +437,24 @@ class _Verifier:
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
         near = cut(near)
-        if near.isEmpty():
-            return near
-        grams = cut(self._fetch(near))
-        both = near.join(grams.toDF("a", "x"), "a").join(grams.toDF("b", "y"), "b")
+        rows = near.count()
+        if not rows:
+            return near.select("a", "b")
+        near = packed(near, rows)
+        wide = 4 * rows  # rows with n-grams
+        grams = cut(self._fetch(near, wide))
+        both = packed(near.select("a", "b").join(grams.toDF("a", "x"), "a"), wide)
+        both = packed(both.join(grams.toDF("b", "y"), "b"), wide)
         return cut(both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long"))
 
 
-def _labelled(entries: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(entries: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """Entries of lists that still hold two components or more, each with its component and its list's commonest one."""
     c = connected_components(links).toDF("a", "label")
-    e = entries.join(c, "a", "left").withColumn("label", F.coalesce("label", "a"))
-    size = e.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
+    e = packed(entries.join(c, "a", "left").withColumn("label", F.coalesce("label", "a")), rows)
+    size = packed(e.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k")), rows)
     main = size.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-    return cut(e.join(main, "list"))
+    return cut(packed(e.join(packed(main, rows), "list"), rows))
 
 
 def _may_link(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
@@ -458,12 +479,14 @@ component's own name, as ids may be null or repeat).
     sets = cut(own.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     lists = _postings(docs, counts, words, percent, buckets).groupBy("bucket").applyInArrow(lambda t: _walk(t, percent, short), LISTS)
     lists = cut(lists)
+    n_pairs, n_entries = lists.agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") == 1)).first()
+    n_sets = sets.count()
     verifier = _Verifier(docs, sets, words, percent)
-    entries = lists.filter("kind = 1").select("list", "a", "n", "place")
-    of_set = entries.groupBy("a").agg(F.count(F.lit(1)).alias("n_lists"))
-    entries = cut(entries.join(of_set, "a"))
-    links = verifier.links(lists.filter("kind = 0").select("a", "b").distinct())
-    left = _labelled(entries, links)
+    entries = packed(lists.filter("kind = 1").select("list", "a", "n", "place"), n_entries)
+    of_set = packed(entries.groupBy("a").agg(F.count(F.lit(1)).alias("n_lists")), n_entries)
+    entries = cut(packed(entries.join(of_set, "a"), n_entries))
+    links = verifier.links(packed(lists.filter("kind = 0").select("a", "b"), n_pairs).distinct(), n_pairs)
+    left = _labelled(entries, links, n_entries)
 
     def near_pivot(e: DataFrame, turn: int) -> DataFrame:
         """Entries with a pivot of their list that is in another component.
@@ -473,22 +496,23 @@ component's own name, as ids may be null or repeat).
         """
         best = F.struct(F.col("n_lists") if turn == 0 else F.lit(0), F.xxhash64("a", F.lit(turn)))
         some = e if turn == 0 else e.filter("label = main")
-        pivot = some.groupBy("list").agg(F.max_by(F.struct("a", "n", "place", "label"), best).alias("p"))
-        both = e.join(pivot, "list").filter(F.col("label") != F.col("p.label"))
+        pivot = packed(some.groupBy("list").agg(F.max_by(F.struct("a", "n", "place", "label"), best).alias("p")), n_left)
+        both = packed(e.join(pivot, "list"), n_left).filter(F.col("label") != F.col("p.label"))
         both = both.filter(_may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent))
         return both.select(F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b")).distinct()
 
     for turn in range(pivots):
-        if left.isEmpty():
+        if not (n_left := left.count()):
             break
-        links = cut(links.unionAll(verifier.links(near_pivot(left, turn))).distinct())
-        left = _labelled(entries, links)
-    if not left.isEmpty():
-        links = cut(links.unionAll(verifier.exact(verifier.rest(left))).distinct())
+        # a pair of different components isn't among the links before
+        links = links.unionAll(verifier.links(near_pivot(left, turn), n_left))
+        left = _labelled(entries, links, n_entries)
+    if n_left := left.count():
+        links = links.unionAll(verifier.exact(verifier.rest(left, n_left)))
     of = connected_components(links).toDF("set", "label")
-    members = sets.select("set", "doc_id").join(of, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return own.select("doc_id", "n", "set"), links, members.join(least, "label").select("set", "component_id", "label")
+    members = packed(sets.select("set", "doc_id").join(of, "set", "left").withColumn("label", F.coalesce("label", "set")), n_sets)
+    least = packed(members.groupBy("label").agg(F.min("doc_id").alias("component_id")), n_sets)
+    return own.select("doc_id", "n", "set"), links, packed(members.join(least, "label"), n_sets).select("set", "component_id", "label")
 
 
 def components(docs: DataFrame, **options) -> DataFrame:
