@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithos.llm import bpe, chat, jaccard, langid, licenses, neighbours, packing, quality, sharding, suffix_dedup
+from lithos.llm import bpe, chat, interaction, jaccard, langid, licenses, neighbours, packing, pii, quality, sharding, suffix_dedup, whitening
 from lithos.session import read_table
 
 
@@ -76,6 +76,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in pii.BASE_KINDS]
+    counts = [n.cast("long").alias(f"n_{k}") for n, k in zip(counts, pii.BASE_KINDS, strict=True)]
+    return out.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_pii": op11_pii,
+    "op12_interaction": op12_interaction,
+    "op13_whitening": op13_whitening,
 }
 
 #: The template adds 8 + role + 8 + 7 characters to a turn, and one for each backslash and control string.
@@ -134,4 +155,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7_SQL, "op9_quality": _OP9_SQL}
+_OP12_SQL = r"""
+WITH RECURSIVE o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || l FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS x(l) WHERE NOT contains(filter_order, l)
+), st AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws,
+    min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first FROM documents
+), l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), c AS (
+  SELECT part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL
+), x AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS f, fails = letter AS alone,
+    before <> '' AND regexp_matches(fails, '[' || before || '_]') AS earlier
+  FROM c, st
+), y AS (
+  SELECT part, filter_order, step, letter,
+    CAST(sum(CASE WHEN NOT f AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN f AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN f AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN f AND NOT earlier THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN f AND NOT earlier THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM y
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7_SQL, "op9_quality": _OP9_SQL, "op12_interaction": _OP12_SQL}
