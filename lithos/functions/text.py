@@ -107,8 +107,8 @@ def sentences(*parts: Column) -> Column:
 
 
 # The wording of titles and summaries.
-LEVEL_NAMES = ("", "Info", "Waspada", "Siaga", "Bahaya")
-SEVERITY_NAMES = {"Moderate": "Waspada", "Severe": "Siaga", "Extreme": "Bahaya"}
+LEVEL_NAMES = ("", "Info", "Waspada", "Awas", "Bahaya")
+SEVERITY_NAMES = {"Moderate": "Waspada", "Severe": "Awas", "Extreme": "Bahaya"}
 SOURCE_NAMES = {"bmkg": "BMKG", "usgs": "USGS"}
 
 
@@ -180,7 +180,7 @@ def fire_summary(detections: Column, passes: Column, satellites: Column, first:
     when = F.concat(local_time_text(first), F.when(last != first, F.concat(F.lit(" s.d. "), local_time_text(last))).otherwise(""))
     return sentences(
         F.concat(n(detections), F.lit(" deteksi dari "), n(passes), F.lit(" lintasan satelit ("), satellites, F.lit("), "), when, F.lit(".")),
-        F.when(level == 3, F.concat(F.lit("Siaga: "), n(peak), F.lit(f" deteksi dalam 24 jam (ambang {many}).")))
+        F.when(level == 3, F.concat(F.lit("Awas: "), n(peak), F.lit(f" deteksi dalam 24 jam (ambang {many}).")))
         .when((level == 2) & (high > 0), "Waspada: ada deteksi keyakinan tinggi.")
         .when(level == 2, F.concat(F.lit("Waspada: api terlihat di "), n(peak_passes), F.lit(" lintasan dalam 24 jam."))),
         F.lit("Deteksi satelit bisa juga pembakaran lahan, bukan laporan lapangan. Sumber: NASA FIRMS."),

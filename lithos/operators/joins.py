@@ -157,6 +157,28 @@ def near_pairs(points: DataFrame, km: float, seconds: int, cell_time: str = "t")
     return j.filter(ok & (F.col("a_id") != F.col("b_id"))).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
+def near_between(left: DataFrame, right: DataFrame, km: float, seconds: int) -> DataFrame:
+    """Pairs (a, b) of a left and a right point (id, t, lat, lon) within both distances, ends included.
+
+    Left points look in the 27 cells of place and time around them, right points stand in their own.
+    """
+    cy = km / 110.5
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+
+    def width(y: Column) -> Column:
+        # of a cell of longitude, as the poleward edge of its band needs
+        return km / (110.5 * F.cos(F.radians(F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * cy, F.lit(89.0)))))
+
+    def own(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", "t", "lat", "lon")], F.floor(F.col("lat") / cy).alias("y"), F.floor(F.col("t") / seconds).alias("k"))
+
+    a = own(over_cores(left), "a").withColumn("y", F.explode(F.transform(steps, lambda d: F.col("y") + d))).withColumn("k", F.explode(F.transform(steps, lambda d: F.col("k") + d)))
+    a = a.withColumn("x", F.explode(F.transform(steps, lambda d: F.floor(F.col("a_lon") / width(F.col("y"))) + d)))
+    b = own(right, "b").withColumn("x", F.floor(F.col("b_lon") / width(F.col("y"))))
+    ok = (F.abs(F.col("a_t") - F.col("b_t")) <= seconds) & (haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= km)
+    return a.join(b, ["y", "k", "x"]).filter(ok).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
 def lookup_or_reject(df: DataFrame, table: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """(joined rows, rows without an entry): a missing entry is an error and never a silent drop."""
     j = df.join(table.withColumn("_found", F.lit(True)), on, "left")

@@ -55,7 +55,7 @@ def quake_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS_SQL}, w AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'Hujan lebat ' || id ELSE ' ' END AS headline, CASE WHEN id % 2 = 0 THEN 'Badai' END AS event, ['Minor', 'Moderate', 'Severe', 'Extreme', 'Unknown'][1 + id % 5] AS severity, ts, ts + (id % 30) * INTERVAL 1 HOUR AS b, id % 4 AS n FROM h)
 SELECT id, CASE WHEN trim(headline) <> '' THEN trim(headline) WHEN event IS NOT NULL THEN 'Peringatan dini cuaca: ' || event ELSE 'Peringatan dini cuaca' END AS title,
-  coalesce(event, 'Peringatan dini cuaca') || ', tingkat ' || CASE severity WHEN 'Moderate' THEN 'Waspada' WHEN 'Severe' THEN 'Siaga' WHEN 'Extreme' THEN 'Bahaya' ELSE 'Info' END || ' (CAP ' || severity || '). '
+  coalesce(event, 'Peringatan dini cuaca') || ', tingkat ' || CASE severity WHEN 'Moderate' THEN 'Waspada' WHEN 'Severe' THEN 'Awas' WHEN 'Extreme' THEN 'Bahaya' ELSE 'Info' END || ' (CAP ' || severity || '). '
   || CASE WHEN id % 7 = 0 THEN 'Dibatalkan BMKG pada ' || {_WIB_SQL.format("ts")} || ' WIB.' ELSE 'Berlaku ' || {_WIB_SQL.format("ts")} || CASE WHEN CAST(ts + INTERVAL 7 HOUR AS DATE) = CAST(b + INTERVAL 7 HOUR AS DATE) THEN '–' || strftime(b + INTERVAL 7 HOUR, '%H.%M') ELSE ' – ' || {_WIB_SQL.format("b")} END || ' WIB.' END
   || CASE WHEN n > 1 THEN ' Diperbarui ' || (n - 1) || ' kali.' ELSE '' END || ' Sumber: BMKG.' AS summary FROM w""")
 def warning_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,12 @@ def warning_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("id", text.warning_title(head, event).alias("title"), said.alias("summary"))
 
 
-@query(f"""WITH {EVENTS_SQL}, f AS (SELECT id, ts, 'P' || user_id AS site, id % 1000 / 7.0 AS v, id % 4 + 1 AS level, CASE WHEN id % 3 = 0 THEN id % 500 / 3.0 END AS top, id % 2 + 3 AS most FROM h), g AS (SELECT *, replace(printf('%.1f', v), '.', ',') AS n, ['Info', 'Waspada', 'Siaga', 'Bahaya'][level] AS l,
+@query(f"""WITH {EVENTS_SQL}, f AS (SELECT id, ts, 'P' || user_id AS site, id % 1000 / 7.0 AS v, id % 4 + 1 AS level, CASE WHEN id % 3 = 0 THEN id % 500 / 3.0 END AS top, id % 2 + 3 AS most FROM h), g AS (SELECT *, replace(printf('%.1f', v), '.', ',') AS n, ['Info', 'Waspada', 'Awas', 'Bahaya'][level] AS l,
   day(ts) || ' ' || {_MONTHS_SQL}[month(ts)] || ' ' || year(ts) AS d FROM f)
 SELECT id, CASE WHEN id % 2 = 0 THEN 'Indikasi potensi banjir sub-DAS ' || site ELSE 'Potensi banjir Citarum di ' || site END AS title,
   'Hujan rata-rata wilayah sub-DAS ' || site || ' diprakirakan ' || n || ' mm dalam 6 jam pada ' || d || ', tingkat ' || l || ' (ambang 12,5 mm). Indikasi potensi banjir dari hujan model ECMWF IFS, bukan pengukuran debit. Sumber: Open-Meteo.' AS rain,
   'Debit model di titik pantau ' || site || ' diprakirakan ' || n || ' m³/s pada ' || d || ', tingkat ' || l || ' (ambang 12,5 m³/s).' || CASE WHEN top IS NOT NULL THEN ' Skenario terburuk ensemble ' || replace(printf('%.1f', top), '.', ',') || ' m³/s.' ELSE '' END
-  || CASE WHEN most = 3 THEN ' Debit di titik ini diatur waduk; tingkat dibatasi Siaga.' ELSE '' END || ' Debit model GloFAS, bukan pengukuran lapangan. Sumber: Open-Meteo.' AS discharge FROM g""")
+  || CASE WHEN most = 3 THEN ' Debit di titik ini diatur waduk; tingkat dibatasi Awas.' ELSE '' END || ' Debit model GloFAS, bukan pengukuran lapangan. Sumber: Open-Meteo.' AS discharge FROM g""")
 def flood_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     site, v, day, level = F.concat(F.lit("P"), F.col("user_id").cast("string")), F.col("id") % 1000 / 7.0, F.to_date(F.col("ts")), F.col("id") % 4 + 1
     return detections(spark, sf_dir).select(
@@ -81,7 +81,7 @@ def flood_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS_SQL}, f AS (SELECT user_id, count(*) AS n, min(ts) AS a, max(ts) AS b, user_id % 3 + 1 AS level, user_id % 2 AS high, count(DISTINCT event_type) AS p FROM h GROUP BY user_id)
 SELECT user_id, CASE WHEN n = 1 THEN 'Titik api terdeteksi satelit' ELSE 'Titik api: ' || n || ' deteksi satelit' END AS title, n || ' deteksi dari ' || p || ' lintasan satelit (NOAA-20), ' || {_WIB_SQL.format("a")} || ' WIB' || CASE WHEN a <> b THEN ' s.d. ' || {_WIB_SQL.format("b")} || ' WIB' ELSE '' END || '.'
-  || CASE WHEN level = 3 THEN ' Siaga: ' || n || ' deteksi dalam 24 jam (ambang 5).' WHEN level = 2 AND high > 0 THEN ' Waspada: ada deteksi keyakinan tinggi.' WHEN level = 2 THEN ' Waspada: api terlihat di ' || p || ' lintasan dalam 24 jam.' ELSE '' END
+  || CASE WHEN level = 3 THEN ' Awas: ' || n || ' deteksi dalam 24 jam (ambang 5).' WHEN level = 2 AND high > 0 THEN ' Waspada: ada deteksi keyakinan tinggi.' WHEN level = 2 THEN ' Waspada: api terlihat di ' || p || ' lintasan dalam 24 jam.' ELSE '' END
   || ' Deteksi satelit bisa juga pembakaran lahan, bukan laporan lapangan. Sumber: NASA FIRMS.' AS summary FROM f""")
 def fire_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = detections(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.countDistinct("event_type").alias("p"))

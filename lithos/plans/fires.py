@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lithos.functions.geo import in_box, round_half_up
 from lithos.operators import fire, joins, latest, quality
 from lithos.plans.registry import EVENTS_SQL, detections, query
 from lithos.policies import PROVINCE, FirePolicy, StaticSourcePolicy
-from lithos.session import read_table
+from lithos.session import checkpoint_dir, read_table
+from lithos.streaming import fires as fire_state
 
 KM_SQL = "2 * 6371.0088 * asin(sqrt(least(1.0, sin(radians({b}lat - {a}lat) / 2) ** 2 + cos(radians({a}lat)) * cos(radians({b}lat)) * sin(radians({b}lon - {a}lon) / 2) ** 2)))"
 
@@ -59,6 +62,24 @@ def fire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("products", F.array_join("products", ","))
 
 
+#: Events linger so long that a month is a replay of few slices; nothing lapses, as what is received at once lies within the gap.
+LINGERING = FirePolicy(km=5.0, linger_seconds=10 * 86_400)
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {_EDGES_SQL}{_COMPONENTS_SQL}, n AS (SELECT event, CAST(arg_min(id, t * 1000000000 + rank) AS VARCHAR) AS name
+  FROM (SELECT *, row_number() OVER (ORDER BY t, CAST(id AS VARCHAR)) AS rank FROM f) GROUP BY event),
+w AS (SELECT *, count(*) OVER win AS k, (min(t) OVER win < max(t) OVER win) OR (min(event_type) OVER win < max(event_type) OVER win) AS sp, bool_or(value >= 480) OVER win AS hi
+  FROM f WINDOW win AS (PARTITION BY event ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW))
+SELECT name AS event, count(*) AS detections, min(t) AS first_t, max(t) AS last_t, max(CASE WHEN k >= 5 THEN 3 WHEN hi OR sp THEN 2 ELSE 1 END) AS level FROM w JOIN n USING (event) GROUP BY name""")
+def fire_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after all detections have been joined in slice by slice, each received when it was detected."""
+    table = fire_state.fire_table(spark, f"{checkpoint_dir(spark)}/fires-{uuid.uuid4().hex}")
+    batch = _points(spark, sf_dir).withColumn("high", F.col("frp") >= 480).withColumnRenamed("fetched_t", "fetched")
+    fire_state.absorb(table, batch, 0, LINGERING)
+    live = table.read(fire_state.MOST_SLICES).filter("live")
+    return live.groupBy("event").agg(F.count(F.lit(1)).alias("detections"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.max("level").alias("level"))
+
+
 _INVENTORY_SQL = f"""WITH {EVENTS_SQL}, p AS (SELECT event_type AS satellite, year(ts) AS year, CASE WHEN value >= 392 THEN 'high' WHEN value >= 147 THEN 'nominal' ELSE 'low' END AS confidence,
   hour(ts) BETWEEN 6 AND 17 AS daytime, CASE WHEN id % 5 < 4 THEN id % 5 END AS type FROM h)
 SELECT satellite, year, count(*) AS n, count_if(confidence = 'low') AS low, count_if(confidence = 'nominal') AS nominal, count_if(confidence = 'high') AS high, count_if(NOT daytime) AS night,
