@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from lithos.functions.geo import round_half_up
 from lithos.functions.levels import severity_level
 from lithos.operators import joins, latest, quality, regions, series, weather
 from lithos.plans.registry import EVENTS_SQL, detections, micros, query
-from lithos.session import read_table
+from lithos.session import checkpoint_dir, cut, read_table
 from lithos.sources import tabular
+from lithos.streaming import warnings as warning_state
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM (
@@ -75,6 +78,35 @@ def warning_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.chains(m).select(F.col("identifier").alias("id"), "chain")
 
 
+#: Orders as messages: each refers to its customer's order before, some cancel, some have no area.
+_MESSAGES_SQL = """m AS (SELECT o_custkey AS c, CAST(o_orderkey AS VARCHAR) AS i, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS sent, o_orderkey % 7 = 0 AS cancels, o_orderkey % 3 > 0 AS has_area,
+  date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 400 AS expires_at, CAST(1 + o_orderkey % 4 AS INTEGER) AS level FROM orders)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    k, sent = F.col("o_orderkey"), F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01")).cast("long")
+    before = F.lag(F.struct(k.cast("string").alias("identifier"), sent.alias("sent"))).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    refs = F.array_compact(F.array(before))
+    area = F.when(k % 3 > 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
+    return o.select(
+        k.cast("string").alias("identifier"), sent.alias("sent"), F.concat(F.lit("d"), k.cast("string")).alias("digest"), F.when(k % 7 == 0, "Cancel").otherwise("Update").alias("msg_type"), refs.alias("references"), area.alias("polygons"),
+        F.lit(True).alias("relevant"), sent.alias("onset"), sent.alias("effective"), (sent + k % 400).alias("expires_at"), (1 + k % 4).cast("int").alias("level"), sent.alias("first_seen_at"), (k % 3).alias("turn"),
+    )
+
+
+@query(f"""WITH {_MESSAGES_SQL}, g AS (SELECT c, arg_min(i, (sent, i)) AS event, arg_max(i, (sent, i)) AS current, arg_max(cancels, (sent, i)) AS cancelled, arg_max(expires_at, (sent, i)) FILTER (has_area) AS expires_at,
+  arg_max(level, (sent, i)) FILTER (has_area) AS level, count(*) AS n_messages FROM m GROUP BY c)
+SELECT event, current, CASE WHEN cancelled THEN 'retracted' WHEN expires_at <= 10400 THEN 'expired' ELSE 'active' END AS status, level, expires_at, n_messages FROM g WHERE expires_at IS NOT NULL""")
+def warning_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in being after three batches, of which each holds a third of every chain, so links between chains come late."""
+    state = warning_state.WarningState(spark, f"{checkpoint_dir(spark)}/warnings-{uuid.uuid4().hex}", 8)
+    messages = cut(_messages(spark, sf_dir))
+    for turn in range(3):
+        warning_state.step(state, messages.filter(F.col("turn") == turn), turn, 10_400)
+    return state.events.read(3).filter("status <> 'merged'").select("event", "current", "status", "level", "expires_at", "n_messages")
+
+
 @query("""WITH h AS (SELECT event_id, substr(sha256('fire' || chr(0) || CAST(event_id AS VARCHAR)), 1, 64) AS s FROM events)
 SELECT event_id, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-8' || substr(s, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(s, 17, 1)) - 1) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS uuid FROM h""")
 def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
