@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from lithos.operators import joins, latest, quake
 from lithos.plans.fires import KM_SQL
 from lithos.plans.registry import EVENTS_SQL, detections, query
 from lithos.policies import MatchRule
-from lithos.session import cut, read_table
+from lithos.session import checkpoint_dir, cut, read_table
+from lithos.streaming import quakes as quake_state
 
 #: Wider than the default, so that a month of events has matches.
 RULE = MatchRule(1800, 60, 1.0)
@@ -149,6 +152,33 @@ def quake_arrival_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(quake.broken_pairs(r, placed).agg(F.count(F.lit(1)).alias("broken")))  # one row each
 
 
+def swarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same solutions eight seconds of ids apart and within a degree, so that many match; revisions name the one before."""
+    s = solutions(spark, sf_dir)
+    i = F.col("id").cast("long")
+    t = i * 8.0
+    return s.withColumn("t", t).withColumn("seen", t + i % 40).withColumn("lat", -7.9 + (i * 7919 % 1000) / 1000.0).withColumn("lon", 106.3 + (i * 104729 % 1000) / 1000.0)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT event_type AS source, count(*) AS solutions, 0::BIGINT AS elsewhere, 0::BIGINT AS broken FROM h WHERE event_type IN ('click', 'view') GROUP BY event_type""")
+def quake_batches_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swarms placed in three batches by arrival: solutions that are in another event than one run places them in, and
+    events whose solutions in force don't match: none."""
+    r = cut(swarms(spark, sf_dir))
+    state = quake_state.QuakeState(spark, f"{checkpoint_dir(spark)}/quakes-{uuid.uuid4().hex}", 8)
+    lo, hi = r.agg(F.min("seen"), F.max("seen")).first()
+    if lo is not None:
+        turn = F.least(F.floor((F.col("seen") - lo) * 3 / (hi - lo + 1)), F.lit(2))
+        for k in range(3):
+            quake_state.step(state, r.filter(turn == k), k)
+    stepped = cut(quake_state.placed(state, 3))
+    once = quake.place(r).select("source", "id", F.col("event").alias("once"))
+    both = once.join(stepped.select("source", "id", "event"), ["source", "id"], "full_outer")
+    n = both.groupBy("source").agg(F.count(F.lit(1)).alias("solutions"), F.count_if(~F.col("once").eqNullSafe(F.col("event"))).alias("elsewhere"))
+    broken = quake.broken_pairs(r, stepped).agg(F.count(F.lit(1)).alias("broken"))  # one row
+    return n.join(broken).select(F.when(F.col("source") == "bmkg", "click").otherwise("view").alias("source"), "solutions", "elsewhere", "broken")
+
+
 _MERGE_SQL = f"""WITH {EVENTS_SQL}, x AS (SELECT *, t * 10000000 + id AS o, CASE WHEN id % 3 = 0 THEN '' ELSE props END AS place, CASE WHEN id % 4 = 0 THEN 'unknown' ELSE event_type END AS wave FROM h)
 SELECT user_id, arg_max(value, o) AS value, arg_max(lat, o) AS lat, arg_max(place, o) FILTER (place <> '') AS place, coalesce(arg_max(wave, o) FILTER (wave <> 'unknown'), 'unknown') AS wave, min(us) AS first_seen FROM x GROUP BY user_id"""
 
