@@ -14,6 +14,7 @@ from lithos.plans.validation import errors_sql
 from lithos.policies import SNAP_EARTH_KM, MatchRule
 from lithos.session import read_table
 from lithos.sources import sinks, tabular
+from lithos.streaming import processors
 
 
 def ntz(at: str):
@@ -348,3 +349,44 @@ def flood_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 != 0, F.col("user_id")).alias("u"))
     return sinks.markdown_rows(e).select(F.regexp_extract("value", r"^\| (\d+)", 1).cast("long").alias("event_id"), "value")
+
+
+@query(f"""WITH {EVENTS_SQL}, f AS (SELECT 'w' || CAST(id // 10 AS VARCHAR) AS identifier, id % 10 AS poll, CASE WHEN event_type IN ('click', 'view') THEN 'id' ELSE 'en' END AS language,
+  CASE WHEN value >= 250 THEN 'ok' WHEN value < 25 THEN 'broken' ELSE 'failed' END AS outcome FROM h),
+n AS (SELECT *, count_if(outcome = 'failed') OVER (PARTITION BY identifier, language ORDER BY poll) AS tries FROM f),
+s AS (SELECT identifier, language, min(poll) AS poll, arg_min(outcome, poll) AS outcome FROM n WHERE outcome <> 'failed' OR tries >= 5 GROUP BY ALL),
+b AS (SELECT m.identifier, m.poll, m.outcome, e.poll AS later FROM s m LEFT JOIN s e ON e.identifier = m.identifier AND e.language = 'en' AND e.outcome = 'ok' WHERE m.language = 'id')
+SELECT identifier, poll, CASE outcome WHEN 'ok' THEN 'published' WHEN 'broken' THEN 'rejected' ELSE 'gave up' END AS outcome, CASE outcome WHEN 'ok' THEN 1 ELSE 0 END::BIGINT AS published,
+  CASE WHEN outcome = 'ok' THEN 'id' || poll || CASE WHEN later < poll THEN ',en' || later ELSE '' END ELSE '' END AS headlines FROM b
+UNION ALL SELECT identifier, later, 'published', 2::BIGINT, 'id' || poll || ',en' || later FROM b WHERE outcome = 'ok' AND later > poll""")
+def warning_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ten events as the polls for one warning's two documents: published early, again with its translation, or given up."""
+    h = detections(processors.with_state_store(spark), sf_dir)
+    language = F.when(F.col("event_type").isin("click", "view"), "id").otherwise("en")
+    outcome = F.when(F.col("value") >= 250, "ok").when(F.col("value") < 25, "broken").otherwise("failed")
+    poll = F.col("id") % 10
+    tries = h.select(F.concat(F.lit("w"), F.floor(F.col("id") / 10).cast("string")).alias("identifier"), F.lit("1").alias("item"), language.alias("language"), poll.alias("poll"), outcome.alias("outcome"), F.concat(language, poll.cast("string")).alias("headline"))
+    out = processors.two_stages(tries)
+    return out.select("identifier", "poll", "outcome", "published", F.coalesce(F.array_join(F.transform("texts", lambda x: x["headline"]), ","), F.lit("")).alias("headlines"))
+
+
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, a AS (SELECT CAST(user_id AS VARCHAR) AS event, us AS tm, CAST(CAST(floor(value / 100) AS INTEGER) AS VARCHAR) AS dg, CASE WHEN id % 7 = 0 THEN us ELSE us + (1 + id % 5) * 43200000000 END AS ex, id % 11 = 0 AS gone FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY tm, dg) AS k FROM a),
+r(event, k, s, d, v, x, e, u, g) AS (SELECT DISTINCT event, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0, NULL::BIGINT, 0, 0, 0 FROM a UNION ALL
+  SELECT event, k, CASE WHEN gone THEN CASE WHEN s1 = 'active' THEN 'retracted' ELSE s1 END WHEN s1 IS NULL THEN CASE WHEN ex > tm THEN 'active' ELSE 'expired' END WHEN up THEN 'active' ELSE s1 END,
+    CASE WHEN NOT gone AND (s1 IS NULL OR up) THEN dg ELSE d END,
+    v + l + CASE WHEN gone THEN CASE WHEN s1 = 'active' THEN 1 ELSE 0 END WHEN s1 IS NULL THEN CASE WHEN ex > tm THEN 1 ELSE 2 END WHEN up THEN 1 ELSE 0 END,
+    CASE WHEN NOT gone AND (s1 IS NULL OR up) THEN ex ELSE x END, e + l + CASE WHEN NOT gone AND s1 IS NULL AND ex <= tm THEN 1 ELSE 0 END,
+    u + CASE WHEN NOT gone AND s1 IS NOT NULL AND up THEN 1 ELSE 0 END, g + CASE WHEN gone AND s1 = 'active' THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(s1 IS NOT NULL AND dg <> d AND (s1 = 'active' OR ex > tm), false) AS up FROM (
+    SELECT r.event, o.k, o.tm, o.dg, o.ex, o.gone, r.d, r.v, r.x, r.e, r.u, r.g, CASE WHEN r.s = 'active' AND r.x <= o.tm THEN 'expired' ELSE r.s END AS s1, CASE WHEN r.s = 'active' AND r.x <= o.tm THEN 1 ELSE 0 END AS l
+    FROM r JOIN o ON o.event = r.event AND o.k = r.k + 1)))
+SELECT event, max(v)::BIGINT AS revision, max(e)::BIGINT AS expired, max(u)::BIGINT AS updated, max(g)::BIGINT AS retracted FROM r GROUP BY event HAVING max(v) > 0""")
+def event_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as assessments of one event that is updated, lapses, is retracted and comes back."""
+    h = detections(processors.with_state_store(spark), sf_dir)
+    i, at = F.col("id"), F.col("us")
+    expires = F.when(i % 7 == 0, at).otherwise(at + (1 + i % 5) * 43_200_000_000)
+    rows = h.select(F.col("user_id").cast("string").alias("event"), F.floor(F.col("value") / 100).cast("int").cast("string").alias("digest"), (1 + i % 4).alias("level"), at.alias("at"), expires.alias("expires"), (i % 11 == 0).alias("retracted"))
+    said = lambda t: F.count_if(F.col("transition") == t).alias(t)
+    return processors.lifecycle(rows).groupBy("event").agg(F.max("revision").alias("revision"), said("expired"), said("updated"), said("retracted"))
