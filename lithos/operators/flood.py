@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions.geo import round_half_up
+from lithos.operators import slices
 from lithos.policies import FloodPolicy
 
 
+def _with_quantiles(out: DataFrame, df: DataFrame, keys: list[str], value: str, shares: list[float], name: str) -> DataFrame:
+    """``out``, one row a key, with an array of exact quantiles of each key's values; null without any."""
+    q = slices.quantiles(df, keys, value, shares).drop("n").withColumnsRenamed({k: f"_{k}" for k in keys} | {"quantiles": name})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return out.join(q, on, "left").select(*out.columns, name)
+
+
 def thresholds(df: DataFrame, keys: list[str], value: str, policy: FloodPolicy = FloodPolicy(), min_samples: int | None = None) -> DataFrame:
     """Exact, linearly interpolated percentiles of each key; NaN and null samples don't count.
 
@@ -16,9 +26,9 @@ def thresholds(df: DataFrame, keys: list[str], value: str, policy: FloodPolicy =
     """
     wrong = (F.col(value) < 0) | (F.col(value) == float("inf"))
     v = F.when(~F.isnan(value) & ~wrong, F.col(value))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in policy.quantiles]))
     names = ["p" + f"{100 * x:g}".replace(".", "_") for x in policy.quantiles]
-    out = df.groupBy(*keys).agg(F.count(v).alias("samples"), q.alias("_q"), F.count_if(wrong).alias("_wrong"))
+    out = df.groupBy(*keys).agg(F.count(v).alias("samples"), F.count_if(wrong).alias("_wrong"))
+    out = _with_quantiles(out, df.withColumn("_value", v), keys, "_value", list(policy.quantiles), "_q")
     for i, n in enumerate(names):
         out = out.withColumn(n, F.col("_q")[i])
     rising = F.lit(True)
@@ -29,8 +39,11 @@ def thresholds(df: DataFrame, keys: list[str], value: str, policy: FloodPolicy =
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """The element at place ceil(q * n)."""
-    aggs = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias("r" + f"{100 * q:g}".replace(".", "_")) for q in quantiles]
-    return df.groupBy(*keys).agg(*aggs)
+    places = [F.greatest(F.ceil(F.lit(float(q)) * F.col("n")) - 1, F.lit(0)) for q in quantiles]
+    found = slices.order_statistics(df, keys, value, places).withColumnsRenamed({k: f"_{k}" for k in keys})
+    own = df.select(*keys).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return own.join(found, on, "left").select(*keys, *[F.col("values")[i].alias("r" + f"{100 * q:g}".replace(".", "_")) for i, q in enumerate(quantiles)])
 
 
 def annual_maxima(df: DataFrame, keys: list[str], day: str, value: str, min_days: int) -> DataFrame:
@@ -47,7 +60,9 @@ def median_of_maxima(maxima: DataFrame, keys: list[str]) -> DataFrame:
 def bias_ratio(df: DataFrame, keys: list[str], model: str, reference: str, policy: FloodPolicy = FloodPolicy()) -> DataFrame:
     """Ratio of the two p98 over common days (null if the reference's isn't positive), and the factor for thresholds."""
     both = df.filter(F.col(model).isNotNull() & F.col(reference).isNotNull())
-    out = both.groupBy(*keys).agg(F.percentile(model, F.lit(0.98)).alias("_m"), F.percentile(reference, F.lit(0.98)).alias("_r"))
+    out = both.select(*keys).distinct()
+    for name, c in (("_m", model), ("_r", reference)):
+        out = _with_quantiles(out, both, keys, c, [0.98], name).withColumn(name, F.col(name)[0])
     ratio = F.when(F.col("_r") > 0, F.col("_m") / F.col("_r"))
     return out.withColumn("ratio", ratio).drop("_m", "_r").withColumn("correction", F.when(F.col("ratio") < policy.bias_cutoff, F.col("ratio")).otherwise(1.0))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions.geo import haversine_km
+from lithos.operators import slices
 from lithos.policies import EPSILON, MatchRule
 from lithos.session import spread as over_cores
 
@@ -188,13 +189,12 @@ def lookup_or_reject(df: DataFrame, table: DataFrame, on: list[str]) -> tuple[Da
 def as_of(left: DataFrame, right: DataFrame, key: str, at_left: str, at_right: str, value: str) -> DataFrame:
     """Each left row with the value of the newest right row at or before it, in the same key.
 
-    One union and one window with a running last value, so neither side is repeated.
+    Both sides are sorted into slices of time, so neither is repeated and a key that holds most rows is many tasks.
     """
-    l = left.select("*", F.col(at_left).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    r = right.select(F.col(key), F.col(at_right).alias("_t"), F.lit(0).alias("_o"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    l = left.select("*", F.col(at_left).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.schema[value].dataType).alias("_r"))
+    r = right.select(F.col(key), F.col(at_right).alias("_t"), F.lit(0).alias("_o"), F.col(value).alias("_r"))
     both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_o = 1").drop("_t", "_o", "_v")
+    return slices.carried(both, key, ["_t", "_o"], F.col("_r"), value).filter("_o = 1").drop("_t", "_o", "_r")
 
 
 def positional(left: DataFrame, right: DataFrame, order: str = "pos") -> DataFrame:

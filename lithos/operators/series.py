@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.operators import slices
 from lithos.operators.latest import latest_issue, newest
 
 
@@ -73,9 +74,10 @@ def poll_outcomes(results: DataFrame) -> DataFrame:
 
 
 def changed_payloads(payloads: DataFrame) -> DataFrame:
-    """Payloads whose digest differs from the connector's payload before."""
-    w = Window.partitionBy("connector").orderBy("fetched_at", "key")
-    return payloads.withColumn("_d", F.lag("digest").over(w)).filter(~F.col("_d").eqNullSafe(F.col("digest"))).drop("_d")
+    """Payloads whose digest differs from the connector's payload before; a connector's archive is many tasks."""
+    own = F.struct("digest")
+    before = slices.carried(payloads, "connector", ["fetched_at", "key"], own, "_before", before=True)
+    return before.filter(~F.col("_before.digest").eqNullSafe(F.col("digest"))).drop("_before")
 
 
 def changed_records(records: DataFrame, partial: bool) -> DataFrame:
