@@ -68,18 +68,6 @@ def tsunami_status(c: Column) -> Column:
     return F.when(any_of(TSUNAMI_NONE), "none").when(any_of(TSUNAMI_POTENTIAL), "potential").otherwise("unknown")
 
 
-def trigram_search(names: DataFrame, key: str, name: str, wanted: str, least: float) -> DataFrame:
-    """(key, similarity) of names that share enough trigrams with a word, found by the trigrams themselves."""
-    spark = names.sparkSession
-    parts = names.select(key, F.explode(trigrams(F.col(name))).alias("part"))
-    asked = spark.range(1).select(F.explode(trigrams(F.lit(wanted))).alias("part"))
-    own = parts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    shared = parts.join(F.broadcast(asked), "part").groupBy(key).agg(F.count(F.lit(1)).alias("_s"))  # the parts of one word
-    n = asked.agg(F.count(F.lit(1)).alias("_m"))
-    out = shared.join(own, key).join(F.broadcast(n))  # one row
-    return out.select(key, (F.col("_s") / (F.col("_n") + F.col("_m") - F.col("_s"))).alias("similarity")).filter(F.col("similarity") >= least)
-
-
 def trigrams(c: Column) -> Column:
     """Distinct three-letter pieces of a name, for search that forgives typing errors."""
     s = F.concat(F.lit("  "), F.lower(squash(c)), F.lit(" "))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lithos.functions import ids, text
 from lithos.functions.geo import round_half_up
 from lithos.functions.levels import severity_level
-from lithos.operators import joins, latest, quality, regions, series, weather
+from lithos.operators import joins, latest, names, quality, regions, series, weather
 from lithos.plans.registry import EVENTS_SQL, detections, micros, query
 from lithos.session import checkpoint_dir, cut, read_table
 from lithos.sources import tabular
@@ -255,8 +255,20 @@ _TRI_SQL = "list_distinct(list_transform(range(1, greatest(length({x}) + 3 - 2,
 @query(f"""WITH p AS (SELECT p_partkey, {_TRI_SQL.format(x="trim(regexp_replace(lower(p_name), '[ ]+', ' ', 'g'))")} AS a, {_TRI_SQL.format(x="'smal rng'")} AS b FROM part),
 s AS (SELECT p_partkey, len(list_intersect(a, b)) AS n, len(list_distinct(list_concat(a, b))) AS m FROM p) SELECT p_partkey, n / m AS similarity FROM s WHERE n / m >= 0.3""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that resemble a mistyped word."""
-    return text.trigram_search(read_table(spark, sf_dir, "part"), "p_partkey", "p_name", "smal rng", 0.3)
+    """Names that resemble a mistyped word, by the stored index."""
+    path = f"{checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    names.store(read_table(spark, sf_dir, "part"), path, "p_partkey", "p_name", 4)
+    return names.search(spark, path, "smal rng", 0.3, 4).withColumnRenamed("key", "p_partkey")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_TRI_SQL.format(x="trim(regexp_replace(lower(p_name), '[ ]+', ' ', 'g'))")} AS a FROM part), w AS (SELECT DISTINCT p_type AS word, {_TRI_SQL.format(x="trim(regexp_replace(lower(p_type), '[ ]+', ' ', 'g'))")} AS b FROM part),
+s AS (SELECT word, p_partkey, len(list_intersect(a, b)) AS n, len(list_distinct(list_concat(a, b))) AS m FROM p, w) SELECT word, p_partkey, n / m AS similarity FROM s WHERE n / m >= 0.2""")
+def name_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts that resemble the name of a type of parts."""
+    path = f"{checkpoint_dir(spark)}/names-{uuid.uuid4().hex}"
+    part = read_table(spark, sf_dir, "part")
+    names.store(part, path, "p_partkey", "p_name", 4)
+    return names.search_many(spark, path, part, 0.2, "p_type").withColumnRenamed("key", "p_partkey")
 
 
 @query("SELECT event_type AS connector, count(*) AS objects, CAST(sum(strlen(props)) AS BIGINT) AS bytes, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1")

@@ -68,10 +68,6 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
 #: Seconds to wait before the second to the fifth attempt; after that a message is given up.
 RETRY_SECONDS = (1, 5, 15, 30)
 

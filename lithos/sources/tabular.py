@@ -174,22 +174,25 @@ def _tuples(text: str) -> Iterator[list[str | None]]:
         i += 1
 
 
-def sql_dump(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of a dump's INSERT statements as strings.
+def sql_dump(spark: SparkSession, path: str, columns: list[str], line_end: str = "\n") -> tuple[DataFrame, DataFrame]:
+    """(rows of a dump's INSERT statements as strings, the value lists that have more or fewer values than ``columns``).
 
     Files are read in pieces that end where a statement does (a semicolon at the end of a line), which a dump writes
-    for each statement and escapes in texts, so a large dump is many tasks and a piece is all that one holds.
+    for each statement and escapes in texts, so a large dump is many tasks and a piece is all that one holds. ``line_end`` is
+    that of the dump. Rejected lists have the file, the values and the reason.
     """
-    raw = spark.read.option("lineSep", ";\n").text(path)
+    raw = spark.read.option("lineSep", f";{line_end}").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    names = [*columns, "_path", "_values"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for body in b["value"]:
-                rows = [r for r in _tuples(body + ";\n") if len(r) == len(columns)]
+            for at, body in zip(b["path"], b["value"], strict=True):
+                rows = [(*r, at, None) if len(r) == len(columns) else (*[None] * len(columns), at, r) for r in _tuples(body + ";\n")]
                 for k in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[k : k + 1000], columns=columns, dtype=object)
+                    yield pd.DataFrame(rows[k : k + 1000], columns=names, dtype=object)
 
-    return raw.mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+    out = raw.mapInPandas(run, ", ".join(f"{c} string" for c in columns) + ", _path string, _values array<string>")
+    return out.filter("_values IS NULL").select(columns), out.filter("_values IS NOT NULL").select(F.col("_path").alias("path"), F.col("_values").alias("values"), F.array(F.lit("width")).alias("errors"))
 
 
 KEY = r"^(.+)/(\d{4})/(\d{2})/(\d{2})/(\d{6})Z-([0-9a-f]{12})\.(\w+)\.gz$"
@@ -198,9 +201,43 @@ KEY = r"^(.+)/(\d{4})/(\d{2})/(\d{2})/(\d{6})Z-([0-9a-f]{12})\.(\w+)\.gz$"
 def archive_index(spark: SparkSession, path: str, start_after: str | None = None, before: str | None = None, content: bool = False) -> DataFrame:
     """Objects of the payload archive by their keys: connector, time, digest prefix; order of keys is order of time.
 
-    ``start_after`` and ``before`` cut out a range of one connector's keys; with ``content`` the bytes come along.
+    ``start_after`` and ``before`` cut out a range of keys; only the days that it reaches into are listed. With ``content`` the
+    bytes come along.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if start_after is None and before is None:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    elif days := archive_days(spark, path, start_after, before):
+        f = spark.read.format("binaryFile").load(days)
+    else:
+        f = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return _archived(f, start_after, before, content)
+
+
+def archive_days(spark: SparkSession, path: str, start_after: str | None, before: str | None) -> list[str]:
+    """The folders of the days (connector/year/month/day) that keys in a range can be in: at most one for each connector and day of it."""
+    found = [""]
+    for _ in range(4):
+        under = []
+        for prefix in found:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}" if prefix else path)
+            names = sorted(x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if x.isDirectory())
+            under += [f"{prefix}{name}/" for name in names]
+        # a prefix comes before all keys that it starts, and they come before it with a last character that none has
+        found = [p for p in under if (before is None or p < before) and (start_after is None or p + "\U0010ffff" > start_after)]
+    return [f"{path}/{p}" for p in found]
+
+
+def archive_stream(spark: SparkSession, path: str, start_after: str | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """The archive as a stream of objects with their content: those there are after a key, then new ones as they come.
+
+    The checkpoint of a query knows the objects that it has read, so a replay goes on where it stopped.
+    """
+    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").option("maxFilesPerTrigger", files_per_batch)
+    return _archived(f.load(path), start_after, None, True)
+
+
+def _archived(f: DataFrame, start_after: str | None, before: str | None, content: bool) -> DataFrame:
+    """The objects' keys and what they tell."""
     rel = F.regexp_extract("path", r"([^/]+/\d{4}/\d{2}/\d{2}/\d{6}Z-[0-9a-f]{12}\.\w+\.gz)$", 1)
     p = lambda i: F.regexp_extract(F.col("key"), KEY, i)
     f = f.withColumn("key", rel).filter("key != ''")
@@ -230,10 +267,6 @@ def archive_payloads(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select("key", F.col("body").cast("string").alias("body")), bad.select("key", "errors")
 
 
-def archive_key(connector: Column, at: Column, digest: Column, ext: str) -> Column:
-    return F.concat(connector, F.lit("/"), F.date_format(at, "yyyy/MM/dd/HHmmss"), F.lit("Z-"), F.substring(digest, 1, 12), F.lit(f".{ext}.gz"))
-
-
 def merged_order(index: DataFrame) -> DataFrame:
     """Archives of several connectors in one order: time, connector, key."""
     return index.orderBy("fetched_at", "connector", "key")

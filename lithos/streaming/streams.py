@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lithos.operators.latest import newest
-from lithos.operators.quality import with_errors
 
 
 def dedup(stream: DataFrame, key: str = "msg_id", at: str = "published_at", within: str = "24 hours") -> DataFrame:
@@ -91,11 +90,6 @@ def flood_episodes(runs: DataFrame, linger: int = 86_400, threshold: int = 2) ->
     return runs.groupBy("site").applyInPandasWithState(run, EPISODE, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def daily_counts(stream: DataFrame, at: str, key: str, late: str = "1 day") -> DataFrame:
-    """Detections of each key and day, with late ones up to the watermark."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("day"), key).agg(F.count(F.lit(1)).alias("n"))
-
-
 def recompute(stream: DataFrame, table: str, keys: list[str], order: list[str], touched: Callable[[DataFrame, DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str):
     """Store each batch by an idempotent upsert into versioned folders of ``table`` and publish what ``touched`` makes of it.
 
@@ -122,8 +116,3 @@ def _version(spark: SparkSession, table: str, number: int) -> DataFrame | None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     return spark.read.parquet(path) if fs.exists(hadoop) else None
-
-
-def split_stream(stream: DataFrame, rules) -> DataFrame:
-    """The stream with its errors, for one sink of valid rows and one of dead letters."""
-    return with_errors(stream, rules)

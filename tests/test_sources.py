@@ -1,5 +1,6 @@
 import datetime as dt
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -113,7 +114,41 @@ def test_calibration_and_dump(spark, tmp_path):
         tabular.calibration(spark, str(c), "id string, p90 double")
     d = tmp_path / "d.sql"
     d.write_text("-- note (1)\nINSERT INTO t (kode, nama) VALUES ('11.01', 'O''Neil (a,b)'), (NULL, 'x\\'y');\n/* c */ INSERT INTO t VALUES ('12', 'z');")
-    assert sorted((r.kode or "", r.nama) for r in tabular.sql_dump(spark, str(d), ["kode", "nama"]).collect()) == [("", "x'y"), ("11.01", "O'Neil (a,b)"), ("12", "z")]
+    rows, bad = tabular.sql_dump(spark, str(d), ["kode", "nama"])
+    assert sorted((r.kode or "", r.nama) for r in rows.collect()) == [("", "x'y"), ("11.01", "O'Neil (a,b)"), ("12", "z")] and bad.count() == 0
+    # nothing is lost: lists of another width are rejected, and other line ends are pieces too
+    d.write_bytes(b"INSERT INTO t VALUES ('a','b'),('c'),('d','e');\r\nINSERT INTO t VALUES ('f', NULL, 'g'), (NULL, NULL);\r\n")
+    rows, bad = tabular.sql_dump(spark, str(d), ["kode", "nama"], line_end="\r\n")
+    assert sorted(((r.kode, r.nama) for r in rows.collect()), key=str) == [("a", "b"), ("d", "e"), (None, None)]
+    assert sorted((r["values"], r.errors) for r in bad.collect()) == [(["c"], ["width"]), (["f", None, "g"], ["width"])]
+
+
+def test_archive_ranges_list_only_their_days(spark, tmp_path):
+    for c in ("alpha", "beta"):
+        for day in ("2031/01/31", "2031/02/01", "2031/02/02", "2032/02/02"):
+            k = tmp_path / c / day
+            k.mkdir(parents=True)
+            for h in ("03", "15"):
+                (k / f"{h}0000Z-0123456789ab.json.gz").write_bytes(gzip.compress(b"{}"))
+    every = sorted(r.key for r in tabular.archive_index(spark, str(tmp_path)).collect())
+    assert len(every) == 16
+    for lo, hi, days in ((every[3], every[6], 3), (every[1], None, 8), (None, every[2], 2), (every[5], every[12], 5), ("zeta", None, 0)):
+        assert sorted(r.key for r in tabular.archive_index(spark, str(tmp_path), lo, hi).collect()) == [k for k in every if (lo is None or k > lo) and (hi is None or k < hi)]
+        assert len(tabular.archive_days(spark, str(tmp_path), lo, hi)) == days
+    assert {r.key for r in tabular.archive_index(spark, str(tmp_path), every[3], every[6], content=True).filter("length(content) > 0").collect()} == set(every[4:6])
+
+
+def test_archive_stream_goes_on_where_it_stopped(spark, tmp_path):
+    src, sink = tmp_path / "a", str(tmp_path / "out")
+    for i, day in enumerate(("01", "02", "03")):
+        k = src / "alpha" / "2031" / "01" / day
+        k.mkdir(parents=True)
+        body = f'{{"n": {i}}}'.encode()
+        (k / f"120000Z-{hashlib.sha256(body).hexdigest()[:12]}.json.gz").write_bytes(gzip.compress(body))
+        good, _ = tabular.archive_payloads(tabular.archive_stream(spark, str(src), "alpha/2031/01/01/99", 1))
+        q = good.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60) and q.exception() is None
+    assert sorted(r.body for r in spark.read.parquet(sink).collect()) == ['{"n": 1}', '{"n": 2}']
 
 
 def test_archive_index_and_sinks(spark, tmp_path):
