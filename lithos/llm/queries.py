@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.llm import bpe, chat, interaction, jaccard, langid, licenses, neighbours, packing, pii, quality, sharding, suffix_dedup, whitening
-from lithos.session import read_table
+from lithos.session import checkpoint_dir, read_table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(read_table(spark, sf_dir, "documents"), n_shards=40)
+    store = f"{checkpoint_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
+    out = sharding.shard(read_table(spark, sf_dir, "documents"), n_shards=40, store=store)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
