@@ -4,11 +4,11 @@ Documents are encoded and cut into pieces of at most ``capacity`` tokens. Only t
 number of pieces of each length matters to a packing, so the search runs on that
 histogram, whose size is the capacity's and not the data's: around the largest
 piece left it enumerates undominated fillings, takes the best fitting one as many
-times as the counts allow, and goes back to another filling when the waste so far
-exceeds what the incumbent leaves. It ends when a packing meets the lower bound, or with the
-incumbent when its effort (``nodes`` and ``backtracks``) is spent: then the number of sequences
+times as the counts allow, and goes back to another filling, or to fewer of one, when the waste so far
+exceeds what the incumbent leaves. It ends when a packing meets the lower bound, when all have been tried, or with the
+incumbent when its ``Effort`` is spent: then the number of sequences
 may be above the least possible, never the pieces incomplete; ``Plan.bound`` tells by how much
-at most. Pieces are then numbered within their length and each finds its sequence and place in
+at most. ``EXACT`` is effort without limits: it finds the least number, in a time that may grow exponentially with the lengths. Pieces are then numbered within their length and each finds its sequence and place in
 the plan's intervals.
 
 Edge cases: a null or empty text is the end token alone, and any number of them is packed; repeated
@@ -35,12 +35,25 @@ from lithos.llm.bpe import MEMORY_WORDS, Vocabulary, blocks, splitter
 from lithos.session import cut
 
 CAPACITY = 2048
-#: Effort of the search: places looked at for the fillings around a piece, alternatives kept of them, steps back.
-NODES, KEPT, BACKTRACKS = 1_000, 8, 200
 #: Pieces of a length that are numbered in one task, about.
 TASK_PIECES = 2_000_000
 
 
+@dataclass(frozen=True)
+class Effort:
+    """What a search may spend; None is without limit."""
+
+    #: Places looked at for the fillings around a piece.
+    nodes: int | None = 1_000
+    #: Alternatives kept of these.
+    kept: int | None = 8
+    #: Steps back in all.
+    backtracks: int | None = 200
+
+
+EXACT = Effort(None, None, None)
+
+
 class _Words(dict):
     """The ids of words, encoded when first met."""
 
@@ -169,7 +182,12 @@ def _covers(larger: tuple[int, ...], pieces: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(left: _Counts, capacity: int, nodes: int = NODES, kept: int = KEPT, allowed: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
+def _order(option: tuple[int, tuple[int, ...]]) -> tuple:
+    waste, filling = option
+    return waste, len(filling), filling
+
+
+def fillings(left: _Counts, capacity: int, effort: Effort = Effort(), allowed: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Undominated fillings around the largest piece: (waste, lengths), best first.
 
     A place of the search chooses how many pieces of one length go in, the most first, so its depth is that of
@@ -197,7 +215,7 @@ def fillings(left: _Counts, capacity: int, nodes: int = NODES, kept: int = KEPT,
 
     go_on(capacity - top, len(left.lengths) - 1, ())
     seen = 0
-    while stack and seen < nodes:
+    while stack and (effort.nodes is None or seen < effort.nodes):
         seen += 1
         room, i, m, chosen = stack.pop()
         if m:
@@ -205,10 +223,10 @@ def fillings(left: _Counts, capacity: int, nodes: int = NODES, kept: int = KEPT,
         x = left.lengths[i]
         go_on(room - m * x, i - 1, (*chosen, (x, m)) if m else chosen)
     out: list[tuple[int, tuple[int, ...]]] = []
-    for filling, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0])):
+    for waste, filling in sorted(((w, f) for f, w in found.items()), key=_order):
         if not any(_covers(f[1:], filling[1:]) for _, f in out):
             out.append((waste, filling))
-        if len(out) == kept:
+        if len(out) == effort.kept:
             break
     return out
 
@@ -248,47 +266,65 @@ def _largest_first(left: _Counts, capacity: int) -> tuple[int, ...]:
     return tuple(chosen)
 
 
-def complete(counts: dict[int, int], capacity: int = CAPACITY, backtracks: int = BACKTRACKS, nodes: int = NODES) -> Plan:
-    """The best packing found of the pieces, given how many there are of each length."""
+def complete(counts: dict[int, int], capacity: int = CAPACITY, effort: Effort = Effort()) -> Plan:
+    """The best packing found of the pieces, given how many there are of each length.
+
+    Fillings around one length are taken in their order, each as often as possible first, then less often: so every
+    set of undominated fillings is met once.
+    """
     total = sum(k * v for k, v in counts.items())
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best.bound = least
     left = _Counts(counts)
-    path: list[tuple[tuple[int, ...], int, list]] = []
+    path: list[tuple[tuple[int, ...], int, Iterator]] = []
     waste = back = 0
+    allowed = (best.n_sequences - 1) * capacity - total
+
+    def choices(options: list[tuple[int, tuple[int, ...]]]) -> Iterator[tuple[tuple[int, ...], int, int]]:
+        """(filling, times, waste each): all as often as they go, then each less often."""
+        most = []
+        for w, f in options:
+            # a filling that is taken m times wastes m times as much
+            m = left.times(f) if not w else min(left.times(f), (allowed - waste) // w)
+            most.append(m)
+            if m > 0:
+                yield f, m, w
+        for (w, f), upto in zip(options, most, strict=True):
+            for m in range(upto - 1, 0, -1):
+                yield f, m, w
+
     while best.n_sequences > least:
-        allowed = (best.n_sequences - 1) * capacity - total
         if left.lengths:
-            options = fillings(left, capacity, nodes, allowed=allowed - waste)
+            options = fillings(left, capacity, effort, allowed=allowed - waste)
+            if path and path[-1][0][0] == left.lengths[-1]:
+                last = path[-1][0]
+                options = [x for x in options if _order(x) > (capacity - sum(last), len(last), last)]
+            now = choices(options)
         else:
             found = Plan(capacity, [(f, m) for f, m, _ in path], least)
             if found.n_sequences < best.n_sequences:
                 best = found
-            options = []
+                allowed = (best.n_sequences - 1) * capacity - total
+            now = iter(())
         while True:
-            # a filling that is taken m times wastes m times as much
-            step = next(((i, f, w) for i, (w, f) in enumerate(options) if waste + w <= allowed), None)
+            step = next(((f, m, w) for f, m, w in now if waste + w * m <= allowed), None)
             if step is not None:
-                i, f, w = step
-                m = left.times(f)
-                if w:
-                    m = max(1, min(m, (allowed - waste) // w))
-                path.append((f, m, options[i + 1 :]))
+                f, m, w = step
+                path.append((f, m, now))
                 left.change(f, -m)
                 waste += w * m
                 break
-            if not path or back >= backtracks:
+            if not path or (effort.backtracks is not None and back >= effort.backtracks):
                 return best
             back += 1
-            f, m, options = path.pop()
+            f, m, now = path.pop()
             left.change(f, m)
             waste -= (capacity - sum(f)) * m
-            allowed = (best.n_sequences - 1) * capacity - total
     return best
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, effort: Effort = Effort()) -> DataFrame:
     """The pieces with their sequence_id and offset.
 
     ``cut_pieces`` is read more than once, so it should be a table or a checkpoint.
@@ -302,7 +338,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     running = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
-    plan = complete(counts, capacity)
+    plan = complete(counts, capacity, effort)
     shared = spark.sparkContext.broadcast(plan.intervals())  # bounded by the capacity
     w = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_n", F.row_number().over(w)).join(first, ["length", "_salt"])
@@ -323,6 +359,6 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def best_fit_packing(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_packing(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY, effort: Effort = Effort()) -> DataFrame:
     """Pieces of all documents, packed."""
-    return pack(cut(pieces(docs, json_path, ranks_path, pattern, capacity)), capacity)
+    return pack(cut(pieces(docs, json_path, ranks_path, pattern, capacity)), capacity, effort)

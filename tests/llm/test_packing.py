@@ -97,6 +97,34 @@ def test_search_is_exact_on_small_residues():
     assert searched  # best fit alone would have missed some
 
 
+def test_effort_without_limits_is_exact():
+    rng = random.Random(9)
+    searched = fewer = 0
+    for trial in range(300):
+        top = rng.choice([30, 50, 80])
+        counts = dict(Counter(rng.randint(top // 8, top - 3) for _ in range(rng.randint(5, 10))))
+        want = exact(counts, top)
+        plan = packing.complete(counts, top, packing.EXACT)
+        used = Counter()
+        for filling, m in plan.steps:
+            assert sum(filling) <= top
+            used.update({x: k * m for x, k in Counter(filling).items()})
+        assert used == counts and plan.n_sequences == want
+        searched += packing.best_fit(counts, top).n_sequences > want
+        fewer += packing.complete(counts, top, packing.Effort(2, 1, 0)).n_sequences > want
+    assert searched and fewer  # best fit and little effort would have missed some
+
+
+def test_the_operator_searches_where_best_fit_misses(spark):
+    # lengths 6, 5, 5, 4, 3, 3, 2, 2 in sequences of 10, each with its end token
+    rows = [(i, " a" * (n - 1)) for i, n in enumerate((6, 5, 5, 4, 3, 3, 2, 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda effort: packing.best_fit_packing(df, JSON, RANKS, P.PATTERN, 10, effort).collect()
+    got = run(packing.EXACT)
+    assert sorted(r.length for r in got) == [2, 2, 3, 3, 4, 5, 5, 6] and len({r.sequence_id for r in got}) == 3
+    assert len({r.sequence_id for r in run(packing.Effort())}) == 3 == exact(Counter(r.length for r in got), 10)
+
+
 def test_many_short_texts():
     for counts in ({1025: 4, 1: 1500}, {1025: 4, 700: 3, 1: 1500}, {1030: 5, 509: 9, 1: 100_000}, {2048: 3, 1: 1}):
         plan = packing.complete(dict(counts), 2048)
