@@ -196,9 +196,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, target: float = TAR
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([c[j] for c in cells], pa.int32()) for j in (0, 1))], names=["query_id", "asker", "q", "leaf", "salt"])
 
     asked = placed.filter("asks").select("vec_id", "row", "v").mapInArrow(route, f"query_id long, asker long, q {elem}, leaf int, salt int")
-    many = F.create_map(*[F.lit(x) for kv in salts.items() if kv[1] > 1 for x in kv]) if any(n > 1 for n in salts.values()) else None
-    n_salts = F.coalesce(many[F.col("leaf")], F.lit(1)) if many is not None else F.lit(1)
-    held = placed.select("vec_id", "row", "v", "leaf", F.pmod(F.xxhash64("row"), n_salts).cast("int").alias("salt"))
+    # at most a row for each leaf
+    many = F.broadcast(spark.createDataFrame([(leaf, n) for leaf, n in salts.items() if n > 1], "leaf int, n_salts int"))
+    held = placed.select("vec_id", "row", "v", "leaf").join(many, "leaf", "left")
+    held = held.select("vec_id", "row", "v", "leaf", F.pmod(F.xxhash64("row"), F.coalesce("n_salts", F.lit(1))).cast("int").alias("salt"))
 
     def compare(asking: pa.Table, there: pa.Table) -> pa.Table:
         names = ["query_id", "asker", "vec_id", "row", "score"]
