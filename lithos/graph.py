@@ -13,10 +13,15 @@ from lithos.session import cut
 
 #: Edges that a task works on at most, about; small graphs are kept in few partitions.
 TASK_EDGES = 100_000
+#: Nodes that a task holds at most, about: a partition of more gives the stars of its parts.
+MOST_NODES = 1_000_000
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as edges from each node to the smallest one that it reaches in the partition."""
+    """The edges of a partition as edges from each node to the smallest one that it reaches in the partition.
+
+    A partition with more nodes than a task may hold is taken in parts, whose stars connect what its edges do.
+    """
     up: dict = {}
 
     def root(x):
@@ -27,6 +32,11 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = top, up.get(x, top)
         return top
 
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        ends = [(x, root(x)) for x in list(up)]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], schema.field(i).type) for i in (0, 1)], schema=schema)
+
     schema = None
     for b in batches:
         schema = b.schema
@@ -34,9 +44,10 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(x), root(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
+        if len(up) > MOST_NODES:
+            yield stars(schema)
     if schema is not None:
-        ends = [(x, root(x)) for x in list(up)]
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], schema.field(i).type) for i in (0, 1)], schema=schema)
+        yield stars(schema)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:

@@ -256,3 +256,32 @@ def test_region_coverage_takes_all_shapes(spark):
                 want[i, j] = own
     got = {(r.id, r.code): r.share for r in tables.region_coverage(spark, sf).collect()}
     assert got == pytest.approx(want)
+
+
+def test_components_of_partitions_that_a_task_cannot_hold(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lithos import graph
+
+    rng = random.Random(12)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    edges = [(max(e), min(e)) for e in edges if e[0] != e[1]]
+    monkeypatch.setattr(graph, "MOST_NODES", 7)
+    batches = [pa.RecordBatch.from_pylist([{"u": u, "v": v} for u, v in edges[i : i + 10]]) for i in range(0, len(edges), 10)]
+    out = list(graph._local_stars(iter(batches)))
+    assert len(out) > 10
+
+    def components(pairs):
+        up = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for u, v in pairs:
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+        return {x: root(x) for p in edges for x in p}
+
+    assert components([(r["u"], r["v"]) for b in out for r in b.to_pylist()]) == components(edges)
