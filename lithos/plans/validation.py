@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.ids import detection_id
-from lithos.operators import quality, regions
+from lithos.operators import constraints, quality, regions
 from lithos.plans.registry import EVENTS_SQL, detections, query
 from lithos.policies import PROVINCE
 from lithos.session import read_table
@@ -255,3 +255,33 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lithos.functions.geo import in_box
 
     return detections(spark, sf_dir).select("id", quality.in_nation(F.col("lat"), F.col("lon")).alias("nation"), in_box(F.col("lat") + F.col("id") % 3, F.col("lon"), PROVINCE).alias("province"))
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT id AS i, 'e' || id AS id, CASE WHEN id % 50 = 0 THEN 'storm' WHEN id % 5 = 1 THEN 'quake' ELSE 'fire' END AS kind, id % 4 = 0 AS merged, CASE WHEN id % 4 = 0 AND id % 12 <> 0 THEN 'e' || (id - 1) END AS merged_into FROM h),
+q AS (SELECT id AS i, 'e' || id AS event_id, value / 45 AS magnitude, id % 900 AS depth FROM h WHERE id % 5 = 1 OR id % 35 = 0), o AS (SELECT 'm' || (o_orderkey // 3) AS msg_id, o_orderkey % 10 = 0 AS wrong FROM orders),
+r AS (SELECT 'event' AS "table", 'null:summary' AS rule, count_if(i % 17 = 0) AS violations FROM e UNION ALL SELECT 'event', 'check:kind', count_if(i % 50 = 0) FROM e UNION ALL SELECT 'event', 'check:merged', count_if(i % 12 = 0) FROM e
+  UNION ALL SELECT 'event', 'check:level', count_if(i % 5 = 0) FROM e UNION ALL SELECT 'event', 'check:expires', count_if(i % 9 = 0) FROM e UNION ALL SELECT 'event', 'check:title', count_if(i % 13 = 0) FROM e
+  UNION ALL SELECT 'event', 'reference:merged_into>event', count(*) FROM e WHERE merged_into IS NOT NULL AND merged_into NOT IN (SELECT id FROM e)
+  UNION ALL SELECT 'quake', 'check:magnitude', count_if(magnitude > 10) FROM q UNION ALL SELECT 'quake', 'check:depth_km', count_if(depth > 800) FROM q
+  UNION ALL SELECT 'quake', 'reference:event_id,kind>event', count(*) FROM q WHERE event_id NOT IN (SELECT id FROM e WHERE kind = 'quake')
+  UNION ALL SELECT 'outbox', 'check:subject', count_if(wrong) FROM o UNION ALL SELECT 'outbox', 'key:msg_id', count(*) - count(DISTINCT msg_id) FROM o)
+SELECT * FROM r WHERE violations > 0""")
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promises of stored tables that are broken, and how often."""
+    h = detections(spark, sf_dir)
+    i, text = F.col("id"), lambda c: F.concat(F.lit("e"), c.cast("string"))
+    merged = i % 4 == 0
+    event = h.select(
+        text(i).alias("id"), F.when(i % 50 == 0, "storm").when(i % 5 == 1, "quake").otherwise("fire").alias("kind"), F.when(merged, "merged").otherwise("active").alias("status"),
+        F.when(merged & (i % 12 != 0), text(i - 1)).alias("merged_into"), F.when(merged, F.col("ts")).alias("ended_at"), (i % 5).alias("level"), F.lit("bmkg").alias("primary_source"), text(i).alias("source_event_id"),
+        F.col("ts").alias("occurred_at"), F.col("ts").alias("detected_at"), F.when(i % 9 == 0, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"), F.when(i % 13 == 0, "").otherwise("t").alias("title"),
+        F.when(i % 17 != 0, "s").alias("summary"), F.lit(1).alias("revision"), F.sha2(text(i), 256).alias("content_sha256"),
+    )
+    quake = h.filter((i % 5 == 1) | (i % 35 == 0)).select(
+        text(i).alias("event_id"), F.lit("quake").alias("kind"), (F.col("value") / 45).alias("magnitude"), (i % 900).alias("depth_km"), F.lit(0.0).alias("felt_radius_km"), F.lit("none").alias("tsunami"), F.lit("").alias("shakemap_url"), F.lit("").alias("source_url"),
+    )
+    k = F.col("o_orderkey")
+    outbox = read_table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 10 == 0, "hazard.quake.gone").otherwise("hazard.quake.created").alias("subject"), F.concat(F.lit("m"), F.floor(k / 3).cast("string")).alias("msg_id"), F.lit(b"x").alias("payload"), F.lit(None).cast("string").alias("traceparent"),
+    )
+    return constraints.check({"event": event, "quake": quake, "outbox": outbox}).filter("violations > 0")

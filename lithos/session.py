@@ -48,10 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over all cores if it comes from fewer files than there are; for work that multiplies rows.
 
-    Large inputs come in many splits and are left as they are.
+    Large inputs come in many splits and are left as they are. Files are counted in the JVM, whose index of them the reader has anyway.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
