@@ -31,8 +31,12 @@ def clip_bytes(c: Column, n: int = 100) -> Column:
     return F.when(F.octet_length(c) <= n, c).otherwise(_clip(c, F.lit(n)))
 
 
+# Fixed value: what places of quakes begin with.
+PLACE_PREFIX = r"(?i)^Pusat gempa berada (di )?"
+
+
 def strip_place(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)^Pusat gempa berada (di )?", "")
+    return F.regexp_replace(c, PLACE_PREFIX, "")
 
 
 def decimal_comma(x: Column, digits: int = 1) -> Column:
