@@ -6,22 +6,26 @@ the geometric mean of their numbers. Landmarks give a Nyström map; a one-versus
 ridge regression on it scores each language, so a batch of texts is scored by two
 matrix products.
 
-The classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, in equal shares by
-language, chosen by a hash of the id; every row is scored, over its whole text.
+The classifier is fitted on every labelled row that isn't held out, over its whole text: the
+regression needs only sums over rows, which tasks form and Spark adds up. They are sums of
+integers, so that order and partitions don't change the model. The landmarks, a bounded number of
+texts, are those in the middles of equal shares of all of a language's rows by size. Every row is scored,
+over its whole text.
 
 Edge cases: a null text and one without letters are ``und`` with score 0; with no
 labelled rows all texts are ``und``; rows without a label or without an id take no part
 in the fit; repeated rows are scored alike; other columns take no part.
 
 A calibrated model also tells texts in no known language: each language has a floor for
-the share of a text's three-byte n-grams that the landmarks hold, taken from labelled rows
-that a fit hasn't seen. Texts that mix known languages score low, but hold known n-grams,
+the share of a text's three-byte n-grams that the landmarks hold. It is taken from exact quantiles
+over all of its labelled rows, of which either half, by a hash, is held against landmarks of the other. Texts that mix known languages score low, but hold known n-grams,
 and stay. With fewer than ``FEWEST_ROWS`` such rows there are no floors, and ``keep``
 rejects only texts without letters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +36,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.arrow import batch_of, id_and_bytes, pairs
+from lithos.operators.slices import order_statistics, quantiles
 
-#: Labelled rows in the fit and landmarks, both over all languages.
-SAMPLE_ROWS, LANDMARKS = 1200, 96
+#: Landmarks over all languages; each language has one at least.
+LANDMARKS = 96
 RIDGE = 0.1
+#: Landmarks are chosen of either half of the rows and of all.
+WHOLE = 2
 #: Rows that a floor is taken from, at least; their quantile; how far below it the floor lies, in distances from there to the median, and at least.
 FEWEST_ROWS, FLOOR_QUANTILE, FLOOR_SLACK, LEAST_SLACK = 8, 0.01, 1.5, 0.15
 UNKNOWN = "und"
@@ -127,87 +134,182 @@ class Model:
         return ok if self.floors is None else ok & (known >= self.floors[said])
 
 
-def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Fit on (language, text) rows; None if there are none."""
-    rows = [(lang, data) for lang, data in rows if has_letters(data)]
-    languages = sorted({lang for lang, _ in rows})
-    if not rows:
-        return None
-    each = max(1, landmarks // len(languages))
-    marks: list[bytes] = []
-    for lang in languages:
-        own = sorted((data for x, data in rows if x == lang), key=len)
-        marks += [own[int(i)] for i in np.unique(np.linspace(0, len(own) - 1, each).round())]
+def basis(marks: list[bytes], languages: list[str]) -> Model:
+    """A model of these landmarks, still without weights."""
     found = [codes(m) for m in marks]
     vocabulary = Vocabulary(tuple(np.unique(np.concatenate([f[n] for f in found])) for n in range(3)))
     at = np.zeros((len(marks), vocabulary.size + 1), np.float32)
     for row, data in zip(at, marks, strict=True):
         vocabulary.presence(data, row)
     at = at[:, :-1]
-    model = Model(languages, vocabulary, np.ascontiguousarray(at.T), np.sqrt(np.maximum(at.sum(axis=1), 1)), np.zeros((len(marks), len(languages))))
-    among = model.kernel(marks).astype(np.float64)
+    return Model(languages, vocabulary, np.ascontiguousarray(at.T), np.sqrt(np.maximum(at.sum(axis=1), 1)), np.zeros((len(marks), len(languages))))
+
+
+def scales(counts: list[int]) -> np.ndarray:
+    """What the kernels of each language's rows are multiplied by before they are rounded.
+
+    Its square is in proportion to a row's weight, which is one over the language's rows, as languages weigh alike. Products
+    summed over a batch stay exact as doubles, those over all rows within a long.
+    """
+    least = min(counts)
+    return min(2.0**22, math.sqrt(2.0**62 / (len(counts) * least))) * np.sqrt(least / np.array(counts, float))
+
+
+def sums(model: Model, scale: np.ndarray, label: np.ndarray, texts: list[bytes], step: int = 64) -> np.ndarray:
+    """Of the scaled kernels: the products of each two landmarks, then a row for each language; summed over the texts."""
+    m = len(model.norms)
+    out = np.zeros((m + len(scale), m), np.int64)
+    for i in range(0, len(texts), step):
+        own = label[i : i + step]
+        scaled = np.rint(model.kernel(texts[i : i + step]).astype(np.float64) * scale[own][:, None])
+        out[:m] += (scaled.T @ scaled).astype(np.int64)
+        np.add.at(out[m:], own, scaled.astype(np.int64))
+    return out
+
+
+def solve(model: Model, counts: list[int], total: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The weights, from ``sums`` over all rows."""
+    m, scale = len(model.norms), scales(counts)
+    at = model.landmarks
+    among = ((at.T @ at) / (model.norms[:, None] * model.norms[None, :])).astype(np.float64)
     value, vector = np.linalg.eigh((among + among.T) / 2)
     value = np.maximum(value, 1e-6 * value.max())
     to_map = vector / np.sqrt(value)  # the Nyström map of a text is its kernel with the landmarks times this
-    phi = np.concatenate([model.kernel([data for _, data in rows[i : i + 64]]) for i in range(0, len(rows), 64)]) @ to_map
-    target = np.where(np.array([lang for lang, _ in rows])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    share = np.array([1 / sum(lang == x for x, _ in rows) for lang, _ in rows])[:, None]  # languages weigh alike
-    share *= len(rows) / len(languages)
-    model.weights = to_map @ np.linalg.solve(phi.T @ (share * phi) + ridge * np.eye(phi.shape[1]), phi.T @ (share * target))
+    unit = sum(counts) / len(counts) / counts[0] / scale[0] ** 2  # a row weighs 1 in the mean
+    gram = to_map.T @ (unit * total[:m]) @ to_map
+    target = 2 * np.eye(len(counts)) - 1
+    toward = to_map.T @ ((unit * scale[:, None] * total[m:]).T @ target)
+    return to_map @ np.linalg.solve((gram + gram.T) / 2 + ridge * np.eye(m), toward)
+
+
+def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Fit on local (language, text) rows, as ``train`` does on a table; None if there are none."""
+    rows = [(lang, data) for lang, data in rows if has_letters(data)]
+    languages = sorted({lang for lang, _ in rows})
+    if not rows:
+        return None
+    each = max(1, landmarks // len(languages))
+    marks: list[bytes] = []
+    for lang in languages:
+        own = sorted((data for x, data in rows if x == lang), key=len)
+        marks += [own[i] for i in sorted({(2 * k + 1) * len(own) // (2 * each) for k in range(each)})]
+    model, place = basis(marks, languages), {lang: k for k, lang in enumerate(languages)}
+    label = np.array([place[lang] for lang, _ in rows])
+    counts = np.bincount(label).tolist()
+    model.weights = solve(model, counts, sums(model, scales(counts), label, [data for _, data in rows]), ridge)
     return model
 
 
-def floors(rows: list[tuple[str, bytes]], languages: list[str]) -> np.ndarray | None:
-    """The floors of each language: either half of the rows is scored by a fit on the other.
+def held_out(id_col: str = "doc_id") -> Column:
+    """True for rows that no fit may learn from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, lang, text as bytes, size, half) of all rows to learn from: those with id, label and letters that aren't held out."""
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
+    half = F.pmod(F.xxhash64(id_col, text_col), F.lit(2)).cast("int")
+    return rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"), F.octet_length(text_col).alias("size"), half.alias("half"))
+
+
+def choose(rows: DataFrame, each: int, halves: bool) -> dict[int, list[tuple[str, bytes]]]:
+    """(language, text) of the landmarks of all ``labelled`` rows and, with ``halves``, of those of either half.
+
+    A language's rows in order of size are cut into ``each`` equal shares, from whose middles they come; of rows of one size the first by a hash.
+    """
+    parts = F.array(F.lit(WHOLE), "half") if halves else F.array(F.lit(WHOLE))
+    sized = rows.select(F.explode(parts).alias("part"), "lang", "size")
+    middles = [F.floor(F.lit(2 * k + 1) * F.col("n") / F.lit(2 * each)) for k in range(each)]
+    sizes = order_statistics(sized, ["part", "lang"], "size", middles).select("part", "lang", F.explode("values").alias("size"))
+    wanted = sizes.groupBy("part", "lang", "size").agg(F.count(F.lit(1)).alias("wanted"))  # as many as there are landmarks
+    near = rows.join(F.broadcast(wanted), ["lang", "size"]).filter(F.col("part").isin(WHOLE) | (F.col("part") == F.col("half")))
+    w = Window.partitionBy("part", "lang", "size").orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "text")
+    first = near.withColumn("turn", F.row_number().over(w)).filter((F.col("turn") <= each) & (F.col("turn") <= F.col("wanted")))
+    marks: dict[int, list[tuple[str, bytes]]] = {}
+    for r in sorted(first.select("part", "lang", "size", "turn", "text").collect(), key=lambda r: r[:4]):  # three times the landmarks at most
+        marks.setdefault(r["part"], []).append((r["lang"], bytes(r["text"])))
+    return marks
+
+
+def total_sums(rows: DataFrame, model: Model, scale: np.ndarray) -> np.ndarray:
+    """``sums`` over all ``labelled`` rows."""
+    m = len(model.norms)
+    shared = rows.sparkSession.sparkContext.broadcast((model, scale))  # bounded by the landmarks' n-grams
+    names = [f"v{k}" for k in range(m)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scale = shared.value
+        place = {lang: k for k, lang in enumerate(model.languages)}
+        out = np.zeros((m + len(scale), m), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                out += sums(model, scale, np.array([place[x] for x in few.column("lang").to_pylist()]), few.column("text").to_pylist())
+        used = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(out[used, k]) for k in range(m))], names=["place", *names])
+
+    parts = rows.select("lang", "text").mapInArrow(run, "place int, " + ", ".join(f"{n} long" for n in names))
+    total = np.zeros((m + len(scale), m), np.int64)
+    for r in parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        total[r["place"]] = r[1:]
+    return total
+
+
+def known_shares(rows: DataFrame, marks: list[list[tuple[str, bytes]]]) -> DataFrame:
+    """(lang, share) of all ``labelled`` rows: the share of its n-grams of three bytes that landmarks of the other half hold.
+
+    Rows in a language that the other half doesn't have are left out.
+    """
+    grams = [np.unique(np.concatenate([codes(data)[2] for _, data in own])) for own in marks]
+    shared = rows.sparkSession.sparkContext.broadcast((grams, [{lang for lang, _ in own} for own in marks]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, languages = shared.value
+        held = np.zeros(1 << 24, np.uint8)  # a bit for each half
+        for half, own in enumerate(grams):
+            held[own] |= 1 << half
+        out = pa.schema([("lang", pa.string()), ("share", pa.float64())])
+        for batch in batches:
+            langs, halves, texts = (batch.column(c) for c in ("lang", "half", "text"))
+            others = [(i, lang, 1 - half) for i, (lang, half) in enumerate(zip(langs.to_pylist(), halves.to_pylist(), strict=True)) if lang in languages[1 - half]]
+            yield batch_of(((lang, float((held[codes(texts[i].as_py())[2]] >> other & 1).mean())) for i, lang, other in others), out)
+
+    return rows.select("lang", "half", "text").mapInArrow(run, "lang string, share double")
+
+
+def floors(rows: DataFrame, languages: list[str], marks: list[list[tuple[str, bytes]]]) -> np.ndarray | None:
+    """The floors of each language, over all ``labelled`` rows; ``marks`` are the landmarks of either half.
 
     A language with too few rows gets the lowest floor of the others.
     """
-    rows = [(lang, data) for lang, data in rows if has_letters(data)]
-    names, found = [], []
-    for turn in (0, 1):
-        model, rest = fit(rows[turn::2]), rows[1 - turn :: 2]
-        if model is None or not rest:
-            return None
-        seen = [lang in model.languages for lang, _ in rest]
-        found.append(model.evidence([data for _, data in rest])[2][seen])
-        names += [lang for (lang, _), s in zip(rest, seen, strict=True) if s]
-    every, label = np.concatenate(found), np.array(names)
-
-    def floor(own: np.ndarray) -> float:
-        low, middle = np.quantile(own, [FLOOR_QUANTILE, 0.5])
+    if not all(marks):
+        return None
+    shares, at = known_shares(rows, marks), [FLOOR_QUANTILE, 0.5]
+    found = {r["lang"]: r for r in quantiles(shares, ["lang"], "share", at).collect()}
+
+    def floor(low: float, middle: float) -> float:
         return low - max(FLOOR_SLACK * (middle - low), LEAST_SLACK)
 
-    if len(every) < FEWEST_ROWS:
+    if sum(r["n"] for r in found.values()) < FEWEST_ROWS:
         return None
-    of = {lang: floor(every[label == lang]) for lang in languages if (label == lang).sum() >= FEWEST_ROWS}
-    least = min(of.values()) if of else floor(every)
+    of = {lang: floor(*r["quantiles"]) for lang, r in found.items() if r["n"] >= FEWEST_ROWS}
+    least = min(of.values()) if of else floor(*quantiles(shares.select(F.lit("").alias("lang"), "share"), ["lang"], "share", at).first()["quantiles"])
     return np.array([of.get(lang, least) for lang in languages])
 
 
-def held_out(id_col: str = "doc_id") -> Column:
-    """True for rows that no fit may learn from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate: bool = False) -> Model | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out; ``calibrate`` adds the floors of a known language."""
-    labelled = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    labelled = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate: bool = False) -> Model | None:
+    """Fit on all labelled rows that aren't held out; ``calibrate`` adds the floors of a known language."""
+    rows = labelled(docs, id_col, text_col, lang_col)
+    of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(of)
+    if not languages:
         return None
-    each = max(4, sample_rows // len(counts))
-    key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1_000_000))
-    # a hash threshold leaves about twice the rows wanted, so only those are ranked
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (key <= int(2e6 * each / n) + 20))
-    w = Window.partitionBy("lang").orderBy(key, "doc_id")
-    few = labelled.filter(wanted & F.col("text").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= each)
-    rows = [(r["lang"], bytes(r["text"])) for r in few.select("lang", F.col("text").cast("binary").alias("text")).orderBy("lang", "_r").toLocalIterator()]
-    model = fit(rows)
-    if model is not None and calibrate:
-        model.floors = floors(rows, model.languages)
+    counts = [of[lang] for lang in languages]
+    marks = choose(rows, max(1, LANDMARKS // len(languages)), calibrate)
+    model = basis([data for _, data in marks[WHOLE]], languages)
+    model.weights = solve(model, counts, total_sums(rows, model, scales(counts)))
+    if calibrate:
+        model.floors = floors(rows, languages, [marks.get(half, []) for half in (0, 1)])
     return model
 
 
