@@ -217,8 +217,9 @@ def region_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT id, code, floor(x * 1e6 + 0.5) / 1e6 AS share FROM o WHERE x > 1e-9) SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, code) AS place FROM r""")
 def region_coverage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered regions of each shape, the most covered first."""
-    found = region_coverage(spark, sf_dir).withColumn("share", round_half_up(F.col("share"), 6))
-    return regions.ranked_coverage(found).withColumn("place", F.col("place").cast("long"))
+    sq = _squares(spark, sf_dir)
+    ranked = lambda found: regions.ranked_coverage(found.withColumn("share", round_half_up(F.col("share"), 6))).withColumn("place", F.col("place").cast("long"))
+    return regions.coverage(sq.select(F.col("code").alias("id"), "geom"), sq, then=ranked)
 
 
 @query()
