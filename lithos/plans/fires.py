@@ -92,7 +92,7 @@ def fire_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     h = detections(spark, sf_dir)
     kind = F.when(F.col("id") % 5 < 4, F.col("id") % 5)
-    return fire.inventory(h.select(F.col("event_type").alias("satellite"), F.year("ts").alias("year"), confidence_class(F.col("value") / 4.9).alias("confidence"), F.hour("ts").between(6, 17).alias("daytime"), kind.alias("type")))
+    return fire.inventory(h.select(F.col("event_type").alias("satellite"), F.year("ts").alias("year"), confidence_class(F.col("value") * 10 / 49).alias("confidence"), F.hour("ts").between(6, 17).alias("daytime"), kind.alias("type")))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT month(ts + INTERVAL 7 HOUR) AS month, count(*) AS n FROM h GROUP BY 1")
