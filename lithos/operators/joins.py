@@ -134,15 +134,17 @@ def mask(points: DataFrame, circles: DataFrame, keep: bool = True, cell: float =
     return found.groupBy(*points.columns).agg(F.min("pos").alias("circle"))
 
 
-def near_pairs(points: DataFrame, km: float, seconds: int, cell_time: str = "t") -> DataFrame:
+def near_pairs(points: DataFrame, km: float, seconds: int, cell_time: str = "t", apart: str | None = None) -> DataFrame:
     """Pairs (a, b) of points (id, t, lat, lon) within both distances, ends included; for the clustering of fires.
 
+    With ``apart`` only pairs that differ in that column.
+
     Cells are as wide as the distance and buckets as long as the gap, so partners are in the same cell or one of its
     26 neighbours. A point looks in its own and in the half of them that come after it: each pair is met once.
     """
     cy = km / 110.5
     lat_cell = F.floor(F.col("lat") / cy)
-    p = over_cores(points).select("id", F.col(cell_time).alias("t"), "lat", "lon", lat_cell.alias("y"), F.floor(F.col(cell_time) / seconds).alias("k"))
+    p = over_cores(points).select("id", F.col(cell_time).alias("t"), "lat", "lon", lat_cell.alias("y"), F.floor(F.col(cell_time) / seconds).alias("k"), *([F.col(apart).alias("apart")] if apart else []))
     # degrees of longitude shrink with latitude: a band of cells has the width its poleward edge needs
     band = F.least(F.greatest(F.abs(F.col("y") - 1), F.abs(F.col("y") + 2)) * cy, F.lit(89.0))
     cx = km / (110.5 * F.cos(F.radians(band)))
@@ -154,6 +156,7 @@ def near_pairs(points: DataFrame, km: float, seconds: int, cell_time: str = "t")
     a = a.withColumn("x", F.floor(F.col("a_lon") / cx) + F.col("d")).withColumn("here", own & (F.col("d") == 0)).drop("s", "d")
     b = p.select(*[F.col(c).alias(f"b_{c}") for c in p.columns], "y", "k").withColumn("x", F.floor(F.col("b_lon") / cx))
     j = a.join(b, ["y", "k", "x"]).filter(~F.col("here") | (F.col("a_id") < F.col("b_id")))
+    j = j.filter("a_apart <> b_apart") if apart else j
     ok = (F.abs(F.col("a_t") - F.col("b_t")) <= seconds) & (haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= km)
     return j.filter(ok & (F.col("a_id") != F.col("b_id"))).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
